@@ -1,15 +1,19 @@
 """The registered queries of the training-data operators, and their SQL."""
 
 from millrace.llm import (
+    op04_tables,
     op05_rules,
     op06_shards,
     op07_mixing,
+    op08_counts,
 )
 
 _MODULES = (
+    op04_tables,
     op05_rules,
     op06_shards,
     op07_mixing,
+    op08_counts,
 )
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
