@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators, and their SQL."""
 
 from millrace.llm import (
+    op03_fingerprints,
     op04_tables,
     op05_rules,
     op06_shards,
@@ -9,6 +10,7 @@ from millrace.llm import (
 )
 
 _MODULES = (
+    op03_fingerprints,
     op04_tables,
     op05_rules,
     op06_shards,
