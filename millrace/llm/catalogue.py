@@ -1,6 +1,7 @@
 """The registered queries of the training-data operators, and their SQL."""
 
 from millrace.llm import (
+    op01_quality,
     op03_fingerprints,
     op04_tables,
     op05_rules,
@@ -10,6 +11,7 @@ from millrace.llm import (
 )
 
 _MODULES = (
+    op01_quality,
     op03_fingerprints,
     op04_tables,
     op05_rules,
