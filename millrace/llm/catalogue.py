@@ -2,6 +2,7 @@
 
 from millrace.llm import (
     op01_quality,
+    op02_neardup,
     op03_fingerprints,
     op04_tables,
     op05_rules,
@@ -12,6 +13,7 @@ from millrace.llm import (
 
 _MODULES = (
     op01_quality,
+    op02_neardup,
     op03_fingerprints,
     op04_tables,
     op05_rules,
