@@ -36,8 +36,8 @@ from millrace.llm.words import lowered, mix, windows, words
 BUCKETS, MANTISSA, ROWS = 128, 10, 4
 BANDS = BUCKETS // ROWS
 SIGMAS = 4.5
-STAR_ROUNDS = 3
-#: Members of a block in the exhaustive comparison; a task holds the registers of two blocks.
+STAR_ROUNDS = 2
+#: Documents of a block in the exhaustive comparison; a task holds two blocks.
 BLOCK = 256
 _EMPTY = np.uint16(0xFFFF)
 _PROBES = np.random.default_rng(31).integers(0, BUCKETS, (48, BUCKETS))
@@ -240,8 +240,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not open_bands.limit(1).count():
             break
     else:
-        pairs = common.written(_between(open_bands, nodes, percent).join(done, ["a", "b"], "left_anti"), "pairs")
-        found = found.unionByName(_confirmed(pairs, texts, k, percent))
+        found = found.unionByName(common.written(_between(open_bands, texts, k, percent), "between"))
     labels = components(found.unionByName(links))
     out = signed.select("doc_id", "n_shingles").join(labels, signed["doc_id"] == labels["id"], "left")
     component = F.coalesce("label", "doc_id")
@@ -262,36 +261,54 @@ def _open(bands: DataFrame, labelled: DataFrame) -> DataFrame:
     return rows.join(mixed, "key").select("key", "id", "n", "label", "size")
 
 
-def _between(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket whose registers let them reach ``percent``.
+def _between(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (by label) between different components among documents that open buckets connect.
 
-    Large buckets are dealt into blocks, and every pair of blocks is a group of its own, of
-    bounded size; only pairs that pass leave it.
+    Documents connected by open buckets form a family.  A family is dealt into blocks of about
+    ``BLOCK`` documents and every pair of blocks is a group of its own, so a task holds two blocks
+    however large the family is.  All pairs of a group are compared exactly by one product of
+    0/1 matrices over the shingles that two of its documents share; what leaves a group is one link for
+    each pair of components, not the pairs.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = rows.join(nodes.select("id", "registers"), "id").withColumn("own", own)
-    dealt = rows.select(
-        "key", "id", "n", "label", "registers", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    ).select("key", "id", "n", "label", "registers", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    ids = rows.select("id", "label").distinct()
+    stars = rows.groupBy("key").agg(F.min("id").alias("a")).join(rows.select("key", F.col("id").alias("b")), "key").filter("a != b")
+    family = components(stars.select("a", "b").distinct()).select("id", F.col("label").alias("family"))
+    member = common.written(ids.join(family, "id"), "family")
+    size = member.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = member.join(size, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.join(texts, "id").select(
+        "family", "id", "label", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    )
+    dealt = dealt.select("family", "id", "label", "text", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(key, table):
-        ids, n, label = (table.column(c).to_numpy() for c in ("id", "n", "label"))
-        own = table.column("own").to_numpy()
-        reg = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        i, j = key[1].as_py(), key[2].as_py()
-        a, b = [], []
-        for x in np.flatnonzero(own == i).tolist():
-            y = np.flatnonzero((own == j) & (label != label[x]) & ((ids > ids[x]) if i == j else True))
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            if len(y):
-                y = y[estimate(reg[y], reg[x]) >= _floor(np.minimum(n[y], n[x]).astype(float), percent / 100)]
-                a.append(np.minimum(ids[y], ids[x]))
-                b.append(np.maximum(ids[y], ids[x]))
-        both = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+        label, own = table.column("label").to_numpy(), table.column("own").to_numpy()
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if len(label) < 2 or (label == label[0]).all():
+            return none
+        sets = shingle_sets(table.column("text").combine_chunks(), k)
+        size = np.array([len(s) for s in sets], np.float32)
+        value, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+        common_to = times[column] > 1
+        row, column = row[common_to], (np.cumsum(times > 1) - 1)[column[common_to]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        width = int((times > 1).sum())
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for lo in range(0, width, 4096):  # bounds the matrices
+            a, b = np.searchsorted(column, (lo, lo + 4096))
+            part = np.zeros((len(sets), min(4096, width - lo)), np.float32)
+            part[row[a:b], column[a:b] - lo] = 1
+            both += part @ part.T
+        x, y = key[1].as_py(), key[2].as_py()
+        asked = (own == x)[:, None] & (own == y)[None, :] & (label[:, None] != label[None, :])
+        linked = asked & (both > 0) & (100 * both.astype(np.float64) >= percent * (size[:, None] + size[None, :] - both).astype(np.float64))
+        a, b = np.nonzero(linked)
+        pairs = np.unique(np.stack([np.minimum(label[a], label[b]), np.maximum(label[a], label[b])]), axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
