@@ -9,6 +9,7 @@ from millrace.llm import (
     op06_shards,
     op07_mixing,
     op08_counts,
+    op10_substrings,
 )
 
 _MODULES = (
@@ -20,6 +21,7 @@ _MODULES = (
     op06_shards,
     op07_mixing,
     op08_counts,
+    op10_substrings,
 )
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
