@@ -27,6 +27,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
@@ -195,8 +196,8 @@ class Reader:
 
 #: Letters that are whole pre-tokens in runs, are lower case and composed already.
 _LETTERS = "a-zß-öø-ÿ"
+_RUN = re.compile(r"(?:[^\w\s]|_)[.,]|[.,][^\w\s]")
 _SIMPLE = re.compile(f"([{_LETTERS}]+)([.,!;:?]*)")
-_CAPITALS = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 class WordIds:
@@ -229,18 +230,23 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            return array("H" if self.width == 2 else "I", [t.id for t in self.model.tokenize(word)]).tobytes()
         simple = _SIMPLE.fullmatch(word)
         if not simple or not unicodedata.is_normalized("NFC", word):
             return self._library(word)
         letters, tail = simple.groups()
         if tail:
             return self.memory[letters] + self.memory[tail]
-        return np.array([t.id for t in self.model.tokenize(letters.translate(self.stand_in))], self.kind).tobytes()
+        return array("H" if self.width == 2 else "I", [t.id for t in self.model.tokenize(letters.translate(self.stand_in))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed."""
         if "<|" not in text:  # no special string can be in it, so ASCII capitals may go first
-            text = text.translate(_CAPITALS) if not text.isascii() else text.lower()
+            text = text.encode().lower().decode()
+        # A comma or full stop that follows a letter or number is a pre-token of its own if a blank follows it.
+        if not _RUN.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
         return b"".join(map(self.memory.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
