@@ -9,6 +9,7 @@ from millrace.llm import (
     op06_shards,
     op07_mixing,
     op08_counts,
+    op09_pieces,
     op10_substrings,
 )
 
@@ -21,6 +22,7 @@ _MODULES = (
     op06_shards,
     op07_mixing,
     op08_counts,
+    op09_pieces,
     op10_substrings,
 )
 
