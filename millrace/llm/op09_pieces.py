@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.llm import common
 from millrace.llm.spm import BLANK, Memory, Pieces
@@ -289,7 +290,7 @@ def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     """``rows`` (with ``ids``) plus ``decoded``, the text of the ids."""
     at = rows.columns.index("ids")
-    schema = rows.schema.add("decoded", "string")
+    schema = StructType([*rows.schema, StructField("decoded", StringType())])
 
     def decode(batches):
         pieces = Pieces.at(path or _default())
