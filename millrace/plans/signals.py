@@ -97,14 +97,14 @@ def gap_totals(spark, d):
     )
 
 
-@register("all_searches", f"""WITH {S.IMPRESSIONS} SELECT query, count(*) AS n, max(ts) AS last_ts, count(*) FILTER (zone = 'A') AS in_a, round(avg(latency), 2) AS mean_latency,
+@register("all_searches", f"""WITH {S.IMPRESSIONS} SELECT query, count(*) AS n, max(ts) AS last_ts, count(*) FILTER (zone = 'A') AS in_a, round(avg(latency), 6) AS mean_latency,
   min(latency) AS least, max(latency) AS most FROM impressions GROUP BY query""")
 def all_searches(spark, d):
     return S.impressions(spark, d).groupBy("query").agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.col("ts").cast("timestamp_ntz")).alias("last_ts"),
         F.count_if(F.col("zone") == "A").alias("in_a"),
-        F.round(F.avg("latency"), 2).alias("mean_latency"),
+        F.round(F.avg("latency"), 6).alias("mean_latency"),
         F.min("latency").alias("least"),
         F.max("latency").alias("most"),
     )
