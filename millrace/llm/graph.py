@@ -1,4 +1,4 @@
-"""Connected components of a link table, by minimum labels and pointer jumping on written tables."""
+"""Connected components of a link table, by contraction over written tables."""
 
 from __future__ import annotations
 
@@ -11,22 +11,35 @@ from millrace.llm import common
 def components(links: DataFrame) -> DataFrame:
     """``id``, ``label`` (smallest id reachable) of every id in ``links`` (a, b).
 
-    Each round takes the smallest label among neighbours (pre-aggregated before its
-    shuffle), then the label of that label; every round is written to the shared folder, and
-    only one count a round reaches the driver.
+    Each round every id points to its smallest neighbour (pre-aggregated before the shuffle), pointers are followed
+    twice more, and links are rewritten between the ids pointed to; links inside a
+    contracted group vanish, so the work shrinks round by round.  Every round is written to the
+    shared folder, and only whether links are left reaches the driver.
     """
-    both = common.written(
-        links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a"))).distinct(), "links"
-    )
-    labels = common.written(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    left = common.written(_ordered(links, "a", "b"), "links")
+    labels = None
     while True:
-        near = both.join(labels, both["v"] == labels["id"]).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["id"] == near["u"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("to"), F.col("label").alias("further"))
-        labels_next = common.written(
-            step.join(jump, step["label"] == jump["to"], "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels"
-        )
-        moved = labels_next.filter(F.col("old") != F.col("label")).limit(1).count()
-        labels = labels_next.select("id", "label")
-        if not moved:
+        point = left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))
+        # The smaller end of a link may have no smaller neighbour itself: it points to itself.
+        further = point.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        point = common.written(point.join(further, "to", "left").select("id", F.coalesce("then", "to").alias("to")), "pointers")
+        further = point.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        point = common.written(point.join(further, "to", "left").select("id", F.coalesce("then", "to").alias("to")), "pointers")
+        if labels is None:
+            roots = left.select(F.col("a").alias("id")).distinct().join(point, "id", "left_anti")
+            labels = point.select("id", F.col("to").alias("label")).unionByName(roots.select("id", F.col("id").alias("label")))
+        else:
+            step = point.select(F.col("id").alias("label"), F.col("to").alias("then"))
+            labels = labels.join(step, "label", "left").select("id", F.coalesce("then", "label").alias("label"))
+        labels = common.written(labels, "labels")
+        a = point.select(F.col("id").alias("a"), F.col("to").alias("a_to"))
+        b = point.select(F.col("id").alias("b"), F.col("to").alias("b_to"))
+        moved = left.join(a, "a", "left").join(b, "b", "left")
+        left = common.written(_ordered(moved.select(F.coalesce("a_to", "a").alias("x"), F.coalesce("b_to", "b").alias("y")), "x", "y"), "links")
+        if not left.limit(1).count():
             return labels
+
+
+def _ordered(links: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct links with the smaller end in ``a``, none from an id to itself."""
+    return links.filter(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()

@@ -197,12 +197,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = common.written(signatures(docs, k), "signatures")
     full = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("class"))
-    members = common.written(full.join(classes, "digest").select("doc_id", "class").distinct(), "members")
+    # Every row with its class; the registers stay with the row that stands for the class.
+    members = common.written(
+        signed.join(classes, "digest", "left").select(
+            "doc_id", "n_shingles", "digest", "class", F.when(F.col("doc_id") == F.col("class"), F.col("registers")).alias("registers")
+        ),
+        "members",
+    )
     nodes = common.written(
-        full.join(classes, "digest")
-        .filter(F.col("doc_id") == F.col("class"))
-        .dropDuplicates(["digest"])
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), "registers"),
+        members.filter("registers IS NOT NULL").dropDuplicates(["digest"]).select(F.col("class").alias("id"), F.col("n_shingles").cast("int").alias("n"), "registers"),
         "nodes",
     )
     band = F.transform(
@@ -214,8 +217,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = common.written(
         docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(bands.select("id").distinct(), "id"), "texts"
     )
-    # Members with equal sets are linked already; the same id twice means two sets under one id.
-    links = members.filter(F.col("doc_id") != F.col("class")).select(F.col("class").alias("a"), F.col("doc_id").alias("b"))
+    # An id with two sets joins their classes.
+    twice = members.filter("class IS NOT NULL").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a != z")
+    links = members.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b"))
     labelled = nodes.select("id", "n", F.col("id").alias("label"))
     open_bands, done, found = bands, None, None
     for turn in range(STAR_ROUNDS):
@@ -241,10 +245,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
     else:
         found = found.unionByName(common.written(_between(open_bands, texts, k, percent), "between"))
-    labels = components(found.unionByName(links))
-    out = signed.select("doc_id", "n_shingles").join(labels, signed["doc_id"] == labels["id"], "left")
-    component = F.coalesce("label", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    labels = components(found.unionByName(links)).withColumnRenamed("id", "class")
+    out = members.join(labels, "class", "left")
+    component = F.coalesce("label", "class", "doc_id")
+    if_shared = F.coalesce(component == F.col("doc_id"), F.lit(False))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), if_shared.alias("kept"))
 
 
 def _open(bands: DataFrame, labelled: DataFrame) -> DataFrame:
