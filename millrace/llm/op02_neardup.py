@@ -247,9 +247,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found = found.unionByName(common.written(_between(open_bands, texts, k, percent), "between"))
     labels = components(found.unionByName(links)).withColumnRenamed("id", "class")
     out = members.join(labels, "class", "left")
-    component = F.coalesce("label", "class", "doc_id")
-    if_shared = F.coalesce(component == F.col("doc_id"), F.lit(False))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), if_shared.alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "class", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def _open(bands: DataFrame, labelled: DataFrame) -> DataFrame:
