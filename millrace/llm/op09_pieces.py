@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.llm import common
 from millrace.llm.spm import BLANK, Memory, Pieces
@@ -199,9 +198,6 @@ def scan_encode(path: str, text: str, chunk: int = CHUNK) -> list[int]:
     return [i for (a, b), (x, y) in zip(zip(cuts, cuts[1:]), ways) for i in lattice.ids(marked, lattice.trace(marked, a, b, x, y))]
 
 
-_ENCODED = "__row bigint, ids binary"
-
-
 def _giants(docs: DataFrame, path: str | None, chunk: int) -> DataFrame:
     """__row and ids (2 bytes each) of giant texts: chunks are rows of their own in every step but the scan."""
     edge = 64  # characters around a chunk that its states may touch; more than the longest piece
@@ -247,10 +243,13 @@ def _giants(docs: DataFrame, path: str | None, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("k"), pa.array(out, pa.binary())], ["__row", "k", "part"])
 
     chunks = docs.select("__row", "text").mapInArrow(cut, "__row bigint, k int, piece string, a int, b int")
-    chunks = common.written(chunks.repartition("__row", "k"), "chunks")
-    matrices = chunks.mapInArrow(measure, "__row bigint, k int, matrix binary")
+    # Chunks are few bytes and much work: they are dealt out by number, not by size.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = common.written(chunks, "chunks")
+    matrices = chunks.repartition(parts, "__row", "k").mapInArrow(measure, "__row bigint, k int, matrix binary")
     ways = matrices.groupBy("__row").applyInArrow(scan, "__row bigint, k int, x int, y int")
-    traced = chunks.join(ways, ["__row", "k"]).select("__row", "k", "piece", "a", "b", "x", "y").mapInArrow(trace, "__row bigint, k int, part binary")
+    known = chunks.join(ways, ["__row", "k"]).select("__row", "k", "piece", "a", "b", "x", "y")
+    traced = known.repartition(parts, "__row", "k").mapInArrow(trace, "__row bigint, k int, part binary")
     parts = traced.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))
     return parts.select("__row", F.expr("aggregate(parts, cast('' as binary), (whole, p) -> concat(whole, p.part))").alias("ids"))
 
@@ -261,83 +260,82 @@ def _default() -> str:
     return public_tokenizers.path(MODEL)
 
 
-def _plain(batches, path):
-    pieces = Pieces.at(path or _default())
-    for batch in batches:
-        _, offsets = common.text_buffers(batch.column(1))
-        out: list[bytes] = []
-        for lo, hi in common.slices(offsets):
-            out += [i.astype(np.uint16).tobytes() for i in pieces.encode([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:1], pa.array(out, pa.binary()), *batch.columns[2:]], ["__row", "ids", *batch.schema.names[2:]])
-
+def _finished(docs: DataFrame, others: list[str], finish, schema: str, path: str | None, giant: int, chunk: int) -> DataFrame:
+    """``finish(pieces, columns, texts, ids)`` over slices of all rows: ids of ordinary texts come unit by unit, of giant ones by the scan.
 
-def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` plus ``ids`` (binary, 2 bytes an id, little-endian); a column of that name is replaced."""
-    columns = [c for c in docs.columns if c != "ids"]
+    Encoding and what is made of the ids happen in one Python call a slice.
+    """
     # A giant text is one with that many characters that has none of the blank marks itself.
     is_giant = F.coalesce((F.length("text") >= giant) & (F.instr("text", BLANK) == 0), F.lit(False))
-    plain = docs.select(*columns).filter(~is_giant)
-    kinds = dict(docs.dtypes)
-    others = [c for c in columns if c != "text"]
-    head = plain.select(F.lit(0).cast("bigint").alias("__row"), F.col("text"), F.col("text").alias("__text"), *others)
-    schema = ", ".join(["__row bigint", "ids binary", "__text string", *(f"`{c}` {kinds[c]}" for c in others)])
-    small = head.mapInArrow(lambda b: _plain(b, path), schema).select(*(F.col("__text").alias("text") if c == "text" else F.col(c) for c in columns), "ids")
-    large = common.written(docs.select(*columns).filter(is_giant).withColumn("__row", F.monotonically_increasing_id()), "giants")
-    ids = _giants(large, path, chunk)
-    return small.unionByName(large.join(ids, "__row").select(*columns, "ids"))
 
+    def plain(batches):
+        pieces = Pieces.at(path or _default())
+        for batch in batches:
+            _, offsets = common.text_buffers(batch.column(0))
+            for lo, hi in common.slices(offsets):
+                part = batch.slice(lo, hi - lo)
+                texts = [t or "" for t in part.column(0).to_pylist()]
+                yield finish(pieces, part.columns[1:], texts, pieces.encode(texts))
 
-def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """``rows`` (with ``ids``) plus ``decoded``, the text of the ids."""
-    at = rows.columns.index("ids")
-    schema = StructType([*rows.schema, StructField("decoded", StringType())])
-
-    def decode(batches):
+    def scanned(batches):
         pieces = Pieces.at(path or _default())
         for batch in batches:
-            out = [pieces.decode(np.frombuffer(i or b"", np.uint16)) for i in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "decoded"])
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1)
+                yield finish(pieces, part.columns[2:], part.column(0).to_pylist(), [np.frombuffer(part.column(1)[0].as_py(), np.uint16)])
 
-    return rows.mapInArrow(decode, schema)
+    rows = docs.select("text", *others)
+    small = rows.filter(~is_giant).mapInArrow(plain, schema)
+    large = common.written(rows.filter(is_giant).withColumn("__row", F.monotonically_increasing_id()), "giants")
+    ids = _giants(large, path, chunk).withColumnRenamed("ids", "__ids")
+    return small.unionByName(large.join(ids, "__row").select("text", "__ids", *others).mapInArrow(scanned, schema))
 
 
-def _digest(batches):
-    for batch in batches:
-        out = []
-        for ids, text, back in zip(*(batch.column(c).to_pylist() for c in ("ids", "text", "decoded"))):
-            wide = np.frombuffer(ids, np.uint16).astype("<u4")
-            out.append((len(wide), zlib.crc32(wide.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
-        a = list(zip(*out)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(a, kinds))], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"]
-        )
+def encoded(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` plus ``ids`` (binary, 2 bytes an id, little-endian) and ``decoded``, the text of the ids; columns of these names are replaced."""
+    others = [c for c in docs.columns if c not in ("ids", "decoded", "text")]
+    names = [*others, "text", "ids", "decoded"]
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "text string, ids binary, decoded string"])
+
+    def finish(pieces, columns, texts, ids):
+        made = [texts, [i.astype(np.uint16).tobytes() for i in ids], [pieces.decode(i) for i in ids]]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(m, k) for m, k in zip(made, (pa.string(), pa.binary(), pa.string())))], names)
+
+    return _finished(docs, others, finish, schema, path, giant, chunk)
+
+
+def _digest(pieces, columns, texts, ids):
+    back = [pieces.decode(i) for i in ids]
+    made = [
+        pa.array([len(i) for i in ids], pa.int64()),
+        pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()),
+        pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()),
+        pa.array([b == t for b, t in zip(back, texts)], pa.bool_()),
+    ]
+    return pa.RecordBatch.from_arrays([*columns, *made], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (over 4-byte ids), decoded_sha256, round_trip."""
     docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    both = decoded(encoded(docs)).select("doc_id", "ids", "text", "decoded")
-    return both.mapInArrow(_digest, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
+    schema = "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean"
+    return _finished(docs, ["doc_id"], _digest, schema, None, GIANT, CHUNK)
 
 
-def with_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, source, n_tokens, input_ids (array of int) and the decoded text of every row."""
-    rows = decoded(encoded(docs.select("doc_id", "source", "text")))
+def _listed(pieces, columns, texts, ids):
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(i) for i in ids], out=offsets[1:])
+    flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32), pa.int32())
+    made = [pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array([pieces.decode(i) for i in ids], pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, *made], ["doc_id", "source", "n_tokens", "input_ids", "decoded"])
 
-    def listed(batches):
-        for batch in batches:
-            ids = [np.frombuffer(i, np.uint16).astype(np.int32) for i in batch.column(2).to_pylist()]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(i) for i in ids], out=offsets[1:])
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), batch.column(3)],
-                ["doc_id", "source", "n_tokens", "input_ids", "decoded"],
-            )
-
-    made = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "ids", "decoded")
-    return made.mapInArrow(listed, "doc_id bigint, source string, n_tokens bigint, input_ids array<int>, decoded string")
+
+def with_ids(docs: DataFrame, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, source, n_tokens, input_ids (array of int) and the decoded text of every row."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    schema = "doc_id bigint, source string, n_tokens bigint, input_ids array<int>, decoded string"
+    return _finished(rows, ["doc_id", "source"], _listed, schema, None, giant, chunk)
 
 
 QUERIES = {"op9_sentencepiece": op9_sentencepiece}
