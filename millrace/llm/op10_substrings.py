@@ -107,6 +107,15 @@ class Automaton:
                     out.append((lo, i + 1))
         return out
 
+    def holds(self, sequence: Sequence) -> bool:
+        """Whether ``sequence`` as a whole lies in one of the added sequences."""
+        goes, state = self.next, 0
+        for word in sequence:
+            if word not in goes[state]:
+                return False
+            state = goes[state][word]
+        return True
+
 
 def _least_in_window(value: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbours."""
@@ -238,7 +247,8 @@ def _matched(spans: DataFrame, window: int) -> DataFrame:
             sequence = text[r].split(b" ")
             ranges = grown.matches(sequence, window) if len(grown.next) > 1 else []
             out += [(anchor[r], span[r], lo - lead[r], hi - lead[r]) for lo, hi in ranges]
-            if ranges != [(0, len(sequence))]:
+            # Merged matches of several spans may cover a span that none of them holds; windows across them begin in it.
+            if ranges != [(0, len(sequence))] or not grown.holds(sequence):
                 waiting.append(sequence)
         a = list(zip(*out)) or [[]] * 4
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("anchor", "span", "lo", "hi"), a, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))})

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -154,6 +155,24 @@ def test_substrings_equal_brute_force(spark, corpus, awkward, nothing, monkeypat
     assert sorted(repr(tuple(r)) for r in op10_substrings.digests(docs).collect()) == brute_removed(many)
 
 
+def test_windows_across_two_matches_are_known(spark):
+    """A span that two earlier spans cover together, but neither holds, makes later documents lose words as well."""
+    base = [f"w{i}" for i in range(90)]
+
+    def edited(*places):
+        return " ".join(f"e{i}" if i in places else w for i, w in enumerate(base))
+
+    family = [(1, edited(61)), (2, edited(29)), (3, edited()), (4, edited(19, 70))]
+    rng = random.Random(7)
+    for f in range(40):
+        base = [f"f{f}w{i}" for i in range(90)]
+        family += [(10 + 10 * f + n, edited(*rng.sample(range(90), rng.randrange(4)))) for n in range(8)]
+    docs = spark.createDataFrame(family, "doc_id bigint, text string").repartition(3)
+    rows = op10_substrings.digests(docs).collect()
+    assert sorted(repr(tuple(r)) for r in rows) == brute_removed(family)
+    assert {r["doc_id"]: r["n_removed"] for r in rows}[4] == 50
+
+
 def test_automaton_and_known_reference(spark):
     grown = op10_substrings.Automaton()
     grown.add("a b c d e".split())
