@@ -218,10 +218,10 @@ _RANKED = f"""WITH {SEMANTIC}, gold AS (SELECT vec_id AS query_id, label FROM em
   r AS (SELECT s.query_id, g.label, min(s.sem_rank) AS rank FROM sem s JOIN gold g USING (query_id) JOIN embeddings e ON e.vec_id = s.page_id WHERE e.label = g.label AND e.vec_id <> s.query_id GROUP BY 1, 2)"""
 
 
-def _ranks(spark, d):
+def _ranks(spark, d, whole=False):
     e = S.table(spark, d, "embeddings")
-    gold = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
-    hits = semantic(spark, d).join(gold, "query_id").join(e.select(F.col("vec_id").alias("page_id"), F.col("label").alias("found")), "page_id")
+    gold = e.filter("vec_id % 50 = 0" if whole else "vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    hits = semantic(spark, d, whole).join(gold, "query_id").join(e.select(F.col("vec_id").alias("page_id"), F.col("label").alias("found")), "page_id")
     ranks = hits.filter("found = label AND page_id <> query_id").groupBy("query_id").agg(F.min("sem_rank").cast("bigint").alias("rank"))
     return gold.join(ranks, "query_id", "left")
 
@@ -233,6 +233,12 @@ def recall_metrics(spark, d):
     return E.recall(_ranks(spark, d), "label")
 
 
+@register("recall_metrics_all")
+def recall_metrics_all(spark, d):
+    """``recall_metrics`` over the vectors whose id 50 divides."""
+    return E.recall(_ranks(spark, d, whole=True), "label")
+
+
 @register("threshold_curve", """WITH s AS (SELECT doc_id, quality, (doc_id % 50) / 50.0 AS score FROM labels), f AS (SELECT DISTINCT score AS floor FROM s)
   SELECT floor::DOUBLE AS floor, count(*) FILTER (quality = 1 AND score >= floor) AS kept, count(*) FILTER (quality = 1 AND score < floor) AS lost,
   count(*) FILTER (quality = 0 AND score >= floor) AS admitted, count(*) FILTER (quality = 0 AND score < floor) AS blocked FROM f, s GROUP BY floor""")

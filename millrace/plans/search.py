@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,23 +46,24 @@ FUSED = """fused AS (
 ARMS = ",\n".join([ASKED, COUNTS, LEXICAL, SEMANTIC, FUSED])
 
 
-def asked(spark: SparkSession, d: str) -> DataFrame:
-    items = S.table(spark, d, "benchmark").filter("item_id < 20")
+# ``whole``: all benchmark items, and the vectors whose id 50 divides, ask; else the 20 of each that the SQL asks.
+def asked(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    items = S.table(spark, d, "benchmark").filter("true" if whole else "item_id < 20")
     return items.select(F.col("item_id").alias("query_id"), F.array_distinct(F.slice(T.words(T.normalized(F.col("text"))), 1, 3)).alias("terms"))
 
 
-def lexical(spark: SparkSession, d: str) -> DataFrame:
+def lexical(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    return R.lexical(R.term_counts(docs), asked(spark, d))
+    return R.lexical(R.term_counts(docs), asked(spark, d, whole))
 
 
-def semantic(spark: SparkSession, d: str) -> DataFrame:
+def semantic(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
     vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
-    return R.semantic(vectors, vectors.filter("page_id < 20").withColumnRenamed("page_id", "query_id"))
+    return R.semantic(vectors, vectors.filter("page_id % 50 = 0" if whole else "page_id < 20").withColumnRenamed("page_id", "query_id"))
 
 
-def fused(spark: SparkSession, d: str) -> DataFrame:
-    return R.fused(lexical(spark, d), semantic(spark, d))
+def fused(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    return R.fused(lexical(spark, d, whole), semantic(spark, d, whole))
 
 
 @register("normal_forms", f"""SELECT doc_id, {NORM.format("substr(text, 1, 300)")} AS normalized,
@@ -99,19 +102,19 @@ def query_tokens(spark, d):
 
 
 @register("lexical_topk", f"WITH {','.join([ASKED, COUNTS, LEXICAL])} SELECT query_id, page_id, round(lex_score, 6) AS lex_score, strict, lex_rank FROM lex")
-def lexical_topk(spark, d):
-    return lexical(spark, d).select("query_id", "page_id", F.round("lex_score", 6).alias("lex_score"), "strict", F.col("lex_rank").cast("bigint").alias("lex_rank"))
+def lexical_topk(spark, d, whole=False):
+    return lexical(spark, d, whole).select("query_id", "page_id", F.round("lex_score", 6).alias("lex_score"), "strict", F.col("lex_rank").cast("bigint").alias("lex_rank"))
 
 
 @register("vector_topk", f"WITH {SEMANTIC} SELECT query_id, page_id, round(cosine, 6) AS cosine, sem_rank FROM sem")
-def vector_topk(spark, d):
-    return semantic(spark, d).select("query_id", "page_id", F.round("cosine", 6).alias("cosine"), F.col("sem_rank").cast("bigint").alias("sem_rank"))
+def vector_topk(spark, d, whole=False):
+    return semantic(spark, d, whole).select("query_id", "page_id", F.round("cosine", 6).alias("cosine"), F.col("sem_rank").cast("bigint").alias("sem_rank"))
 
 
 @register("hybrid_rrf", f"WITH {ARMS} SELECT query_id, page_id, lex_rank, sem_rank, round(score, 9) AS score FROM fused")
-def hybrid_rrf(spark, d):
+def hybrid_rrf(spark, d, whole=False):
     rank = lambda c: F.col(c).cast("bigint").alias(c)
-    return fused(spark, d).select("query_id", "page_id", rank("lex_rank"), rank("sem_rank"), F.round("score", 9).alias("score"))
+    return fused(spark, d, whole).select("query_id", "page_id", rank("lex_rank"), rank("sem_rank"), F.round("score", 9).alias("score"))
 
 
 _POS = """positioned AS (
@@ -120,13 +123,13 @@ _POS = """positioned AS (
 
 @register("arm_guarantee", f"""WITH {ARMS}, {_POS}
   SELECT query_id, page_id, pos FROM positioned WHERE pos <= 50 OR lex_rank <= 10 OR sem_rank <= 10""")
-def arm_guarantee(spark, d):
-    return R.positioned(fused(spark, d), 50).select("query_id", "page_id", F.col("pos").cast("bigint").alias("pos"))
+def arm_guarantee(spark, d, whole=False):
+    return R.positioned(fused(spark, d, whole), 50).select("query_id", "page_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-def _hosted(spark, d):
+def _hosted(spark, d, whole=False):
     pages = S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("host"))
-    return R.positioned(fused(spark, d), 200, 0).join(pages, "page_id")
+    return R.positioned(fused(spark, d, whole), 200, 0).join(pages, "page_id")
 
 
 _HOSTED = f"""{ARMS}, {_POS}, hosted AS (
@@ -135,8 +138,8 @@ _HOSTED = f"""{ARMS}, {_POS}, hosted AS (
 
 @register("host_cap", f"""WITH {_HOSTED}
   SELECT query_id, page_id, host, pos FROM hosted QUALIFY row_number() OVER (PARTITION BY query_id, host ORDER BY pos) <= 2""")
-def host_cap(spark, d):
-    return R.host_capped(_hosted(spark, d), 2).select("query_id", "page_id", "host", F.col("pos").cast("bigint").alias("pos"))
+def host_cap(spark, d, whole=False):
+    return R.host_capped(_hosted(spark, d, whole), 2).select("query_id", "page_id", "host", F.col("pos").cast("bigint").alias("pos"))
 
 
 @register("zone_a_assemble", f"""WITH {_HOSTED},
@@ -146,15 +149,20 @@ def host_cap(spark, d):
   SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY host = 'src3' DESC, place) AS position,
          CASE WHEN top >= 0.028603 THEN 'strong' WHEN top >= 0.018560 THEN 'moderate' WHEN top >= 0.011027 THEN 'weak' ELSE 'none' END AS coverage
   FROM placed WHERE place <= CASE WHEN top >= 0.028603 THEN 5 WHEN top >= 0.018560 THEN 3 WHEN top >= 0.011027 THEN 2 ELSE 0 END""")
-def zone_a_assemble(spark, d):
-    return R.zone_a_block(_hosted(spark, d), "src3").select("query_id", "page_id", F.col("position").cast("bigint").alias("position"), "coverage")
+def zone_a_assemble(spark, d, whole=False):
+    return R.zone_a_block(_hosted(spark, d, whole), "src3").select("query_id", "page_id", F.col("position").cast("bigint").alias("position"), "coverage")
 
 
 @register("zone_b_page", f"""WITH {_HOSTED},
   capped AS (SELECT * FROM hosted QUALIFY row_number() OVER (PARTITION BY query_id, host ORDER BY pos) <= 2)
   SELECT query_id, page_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 10 AS position FROM capped QUALIFY position BETWEEN 1 AND 10""")
-def zone_b_page(spark, d):
-    return R.zone_b_page(_hosted(spark, d), 2).select("query_id", "page_id", F.col("position").cast("bigint").alias("position"))
+def zone_b_page(spark, d, whole=False):
+    return R.zone_b_page(_hosted(spark, d, whole), 2).select("query_id", "page_id", F.col("position").cast("bigint").alias("position"))
+
+
+# The SQL of these asks 20 ids; under this name the same query asks its whole set.
+for _query in (lexical_topk, vector_topk, hybrid_rrf, arm_guarantee, host_cap, zone_a_assemble, zone_b_page):
+    register(f"{_query.__name__}_all")(partial(_query, whole=True))
 
 
 @register("boosts", f"""WITH {S.PAGES}
@@ -287,7 +295,7 @@ def navigational(spark, d):
 def cover_density(spark, d):
     docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
     post = R.postings(docs)
-    return R.cover_ranked(post, asked(spark, d), lexical(spark, d).filter("lex_rank <= 20"))
+    return R.cover_ranked(post, asked(spark, d, True), lexical(spark, d, True).filter("lex_rank <= 20"))
 
 
 @register("phrase_match", f"""SELECT doc_id AS page_id FROM documents WHERE contains(' ' || {NORM.format('text')} || ' ', ' of the ')""")
@@ -300,13 +308,13 @@ def phrase_match(spark, d):
 def rerank_stub(spark, d):
     items = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     body = S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.substring("text", 1, 700).alias("body"))
-    rows = R.positioned(fused(spark, d), 50, 0).select("query_id", "page_id", "pos").join(items, "query_id").join(body, "page_id")
+    rows = R.positioned(fused(spark, d, True), 50, 0).select("query_id", "page_id", "pos").join(items, "query_id").join(body, "page_id")
     return R.reranked(rows, R.overlap_scorer).select("query_id", "page_id", "pos", F.round("rerank_score", 6).alias("rerank_score"), "reranked")
 
 
 @register("headline", None)
 def headline(spark, d):
-    top = lexical(spark, d).filter("lex_rank <= 3").join(asked(spark, d), "query_id")
+    top = lexical(spark, d, True).filter("lex_rank <= 3").join(asked(spark, d, True), "query_id")
     body = S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
 
     def mark(batches):
