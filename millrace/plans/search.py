@@ -279,6 +279,14 @@ def thread_links(spark, d):
     return lexicon.overlapping(pages, "page_id", "tags", most=5)
 
 
+@register("thread_links_all")
+def thread_links_all(spark, d):
+    """Three pages with the least id of all that share a first-line tag with a seed; any length of line, any frequency of tag."""
+    tags = F.split(F.substring_index("text", "\n", 1), " ")
+    pages = S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), tags.alias("tags"))
+    return lexicon.first_overlapping(pages, "page_id", "tags", most=3)
+
+
 @register("navigational", f"""WITH {S.DOMAINS}, c AS (SELECT source AS host, count(*) AS n FROM documents GROUP BY 1),
   q AS (SELECT unnest(['src1', 'src12', 'www.src3', 'nothing']) AS query)
   SELECT query, host, tier FROM (SELECT q.query, d.host, d.tier, row_number() OVER (PARTITION BY q.query ORDER BY d.tier, c.n DESC, d.host) AS k

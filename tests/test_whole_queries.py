@@ -68,3 +68,11 @@ def test_searches_ask_their_whole_set(spark, tables):
     assert {r["query_id"] for r in run("arm_guarantee_all")} == asked
     ids = {i for i, *_ in docs}
     assert {r["query_id"] for r in run("host_cap_all")} == {q for q, i in lex.keys() | sem.keys() if i in ids}
+
+
+def test_threads_of_frequent_tags_and_long_lines(spark, tables):
+    d, docs, *_ = tables
+    tags = {i: set(text.split("\n")[0].split(" ")) - {""} for i, text, *_ in docs}
+    want = {(i, j) for i in tags for j in sorted(j for j in tags if j != i and tags[i] & tags[j])[:3]}
+    got = [(r["seed"], r["page_id"]) for r in entry.queries()["thread_links_all"](spark, d).collect()]
+    assert sorted(got) == sorted(want) and (60, 0) in want and (61, 60) in want and 62 not in {i for i, _ in want}
