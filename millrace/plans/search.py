@@ -11,6 +11,7 @@ from millrace.functions import text as T
 from millrace.operators import gate, lexicon
 from millrace.operators import retrieval as R
 from millrace.plans.registry import register
+from millrace.sources import articles as A
 from millrace.sources import tables as S
 
 #: DuckDB: the normal form of a text column ``{0}``.
@@ -70,8 +71,17 @@ def fused(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
   trim(regexp_replace(regexp_replace(translate(lower(trim(substr(text, 1, 300))), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\p{{L}}\\p{{N}}\\p{{M}}:.,\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS routable
   FROM (SELECT doc_id, text FROM documents)""")
 def normal_forms(spark, d):
-    head = F.substring("text", 1, 300)  # a query or title is short; whole texts go through lexical_topk
-    return S.table(spark, d, "documents").select("doc_id", T.normalized(head).alias("normalized"), T.routable(head).alias("routable"))
+    return _forms(spark, d, F.substring("text", 1, 300))  # as the SQL; normal_forms_all takes whole texts
+
+
+@register("normal_forms_all")
+def normal_forms_all(spark, d):
+    """``normal_forms`` of whole texts."""
+    return _forms(spark, d, F.col("text"))
+
+
+def _forms(spark, d, text):
+    return S.table(spark, d, "documents").select("doc_id", T.normalized(text).alias("normalized"), T.routable(text).alias("routable"))
 
 
 _VOTE = {lang: f"len(list_intersect(w, {stops.split()!r}))" for lang, stops in T.STOPWORDS.items()}
@@ -312,11 +322,32 @@ def phrase_match(spark, d):
     return R.phrase(R.postings(docs), ["of", "the"])
 
 
+def _best_chunk(query: str, text: str | None) -> tuple[str | None, str | None]:
+    """Heading and text of the chunk with most of the query's words, of equals the first; a page without chunks stands as its text."""
+    want = set(query.lower().split())
+    parts = A.chunks(text or "")[0]
+    if not parts:
+        return None, text
+    best = max(parts, key=lambda c: (len(want & set(c["text"].lower().split())), -c["ordinal"]))
+    return best["heading_path"], best["text"]
+
+
 @register("rerank_stub", None)
 def rerank_stub(spark, d):
     items = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    body = S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.substring("text", 1, 700).alias("body"))
-    rows = R.positioned(fused(spark, d, True), 50, 0).select("query_id", "page_id", "pos").join(items, "query_id").join(body, "page_id")
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    rows = R.positioned(fused(spark, d, True), 50, 0).select("query_id", "page_id", "pos").join(items, "query_id").join(docs, "page_id")
+
+    def pick(batches):
+        for batch in batches:
+            held = [_best_chunk(q, t) for q, t in zip(batch["query"], batch["text"])]
+            batch["heading"], batch["chunk"] = [h for h, _ in held], [c for _, c in held]
+            yield batch[["query_id", "page_id", "pos", "query", "heading", "chunk"]]
+
+    rows = rows.select("query_id", "page_id", "pos", "query", "text").mapInPandas(pick, "query_id bigint, page_id bigint, pos int, query string, heading string, chunk string")
+    # ``documents`` has no title and no description.
+    body = R.rerank_text(F.lit(None), F.lit(None), F.col("heading"), F.col("chunk"))
+    rows = rows.select("query_id", "page_id", "pos", "query", body.alias("body"))
     return R.reranked(rows, R.overlap_scorer).select("query_id", "page_id", "pos", F.round("rerank_score", 6).alias("rerank_score"), "reranked")
 
 

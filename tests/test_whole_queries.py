@@ -76,3 +76,20 @@ def test_threads_of_frequent_tags_and_long_lines(spark, tables):
     want = {(i, j) for i in tags for j in sorted(j for j in tags if j != i and tags[i] & tags[j])[:3]}
     got = [(r["seed"], r["page_id"]) for r in entry.queries()["thread_links_all"](spark, d).collect()]
     assert sorted(got) == sorted(want) and (60, 0) in want and (61, 60) in want and 62 not in {i for i, _ in want}
+
+
+def test_normal_forms_of_whole_texts(spark, tables):
+    d, docs, *_ = tables
+    found = {r["doc_id"]: (r["normalized"], r["routable"]) for r in entry.queries()["normal_forms_all"](spark, d).collect()}
+    assert found == {i: (" ".join(text.split()),) * 2 for i, text, *_ in docs} and len(found[60][0]) > 300
+
+
+def test_reranking_sees_a_match_late_in_a_long_page(spark, tmp_path):
+    query = "solar sails drift outward quietly"
+    filler = "\n\n".join(" ".join(f"f{p}x{i}" for i in range(120)) + "." for p in range(20))
+    docs = [(0, f"# One\n\n{filler}\n\n# Two\n\n{query} again " + " ".join(f"t{i}" for i in range(100)), "src0"), (1, f"solar {filler}", "src1"), (2, f"{query} short", "src2")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(30, query)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1000 + i, [1.0, float(i)]) for i in range(3)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = {r["page_id"]: r["rerank_score"] for r in entry.queries()["rerank_stub"](spark, str(tmp_path)).collect() if r["query_id"] == 30}
+    assert rows == {0: 1.0, 1: 0.2, 2: 1.0}
