@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -316,10 +316,18 @@ def _between(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but those of documents that are near copies of a document with a smaller id; of rows that share an id, one stays."""
+    """The rows of ``docs`` but those of documents that are near copies of a document with a smaller id.
+
+    Of rows that share an id, one with the least hash of the text stays.  Rows without an id have no component and
+    all stay, copies or not.
+    """
     found = near_duplicates(docs, k, percent)
     dropped = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__id"], "left_anti")
+    left = docs.join(dropped, docs["doc_id"] == dropped["__id"], "left_anti")
+    # Rows without an id are told apart by a number, so that they are neither ranked together nor dropped.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    order = Window.partitionBy("__key").orderBy(F.xxhash64("text"), "text")
+    return left.withColumn("__key", key).withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*docs.columns)
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

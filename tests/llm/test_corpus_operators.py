@@ -58,6 +58,13 @@ def test_near_duplicates_equal_brute_force(corpus, awkward, nothing, k, percent)
         assert kept.columns == awkward.columns and kept.count() < awkward.count()
 
 
+def test_one_row_of_an_id_stays(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "h i j k l m n"), (2, "o p q r s t u"), (3, "o p q r s t u"), (None, "a b c d e f g"), (None, "a b c d e f g"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = [r["doc_id"] for r in op02_neardup.keep_one(docs).collect()]
+    assert sorted(kept, key=repr) == [1, 2, 4, None, None]
+
+
 def test_a_family_that_stars_leave_open(spark, monkeypatch):
     """A chain of texts, each near the next but far from the one after: links must come from the block comparison as well."""
     words = [f"w{i}" for i in range(400)]
