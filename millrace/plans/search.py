@@ -250,7 +250,7 @@ def lexicon_expand(spark, d):
 
 @register("trigram_similarity", None)
 def trigram_similarity(spark, d):
-    """Benchmark items against the first line of every document, at pg_trgm's usual threshold, by shared trigrams."""
+    """Benchmark items against every document, both up to the first full stop, at pg_trgm's usual threshold, by shared trigrams."""
     items = S.table(spark, d, "benchmark").select("item_id", F.substring_index("text", ".", 1).alias("a"))
     titles = S.table(spark, d, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("b"))
     return lexicon.similar(items, "item_id", "a", titles, "doc_id", "b", 0.3)
