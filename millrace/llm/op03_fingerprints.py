@@ -56,13 +56,25 @@ def simhash(column: pa.Array) -> np.ndarray:
 
 
 def _votes(hashes: np.ndarray, weight: np.ndarray | None, begin: np.ndarray) -> np.ndarray:
-    """Weighted votes by row (64 columns); ``begin``: where each row starts."""
-    signs = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-    signs *= 2
-    signs -= 1
+    """Weighted votes by row (64 columns); ``begin``: where each row starts.
+
+    Set bits are counted in byte-wide lanes, eight lanes a machine word, over runs so short
+    that no lane overflows; the runs of a row are then added up.  Votes against are what is left of the weight.
+    """
+    lanes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+    most = 1
     if weight is not None:
-        signs *= weight.astype(np.int32)[:, None]
-    return np.add.reduceat(signs, begin, axis=0)
+        lanes *= weight.astype(np.uint64)[:, None]
+        most = WORD_MOST
+    n, run = len(hashes), 255 // most
+    size = np.diff(np.append(begin, n))
+    runs = -(-size // run)
+    first = np.cumsum(runs) - runs
+    cut = np.repeat(begin - first * run, runs) + np.arange(runs.sum()) * run
+    short = np.add.reduceat(lanes, cut, axis=0).view(np.uint8)
+    found = np.add.reduceat(short, first, axis=0, dtype=np.int64)
+    total = size if weight is None else np.add.reduceat(weight.astype(np.int64), begin)
+    return 2 * found - total[:, None]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,10 +93,10 @@ _SCHEMA = (
 )
 
 
-def _rows(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
-    """Result rows for texts whose next texts are known."""
+def _rows(ids: list, texts: list[str], following: list[str], own: np.ndarray, after: np.ndarray) -> pa.RecordBatch:
+    """Result rows for texts whose next texts are known; ``own``, ``after``: fingerprints of both."""
     changed = [edited(t, f) for t, f in zip(texts, following)]
-    own, new, after = (simhash(pa.array(x, pa.large_string())) for x in (texts, changed, following))
+    new = _hashed(changed)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(ids, pa.int64()),
@@ -99,6 +111,10 @@ def _rows(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
     )
 
 
+def _hashed(texts: list[str]) -> np.ndarray:
+    return simhash(pa.array(texts, pa.large_string()))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: fingerprint, that of its edited text, and likeness to edit and next document.
 
@@ -121,13 +137,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for lo, hi in common.slices(offsets):
                 some = texts[lo:hi].to_pylist()
                 key = ids[lo:hi]
+                own = simhash(texts.slice(lo, hi - lo))
                 if first is None:
                     first, part = (key[0], some[0]), batch.column(2)[0].as_py()
                 if last is not None:
-                    key, some = [last[0], *key], [last[1], *some]
-                last = (key[-1], some[-1])
+                    key, some, own = [last[0], *key], [last[1], *some], np.append(last[2], own)
+                last = (key[-1], some[-1], own[-1])
                 if len(key) > 1:
-                    made = _rows(key[:-1], some[:-1], some[1:])
+                    made = _rows(key[:-1], some[:-1], some[1:], own[:-1], own[1:])
                     none = pa.nulls(made.num_rows, pa.string())
                     yield _with_edges(made, pa.nulls(made.num_rows, pa.int32()), none, none)
         if first is not None:
@@ -147,7 +164,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def finish(batches):
         for batch in batches:
             if batch.num_rows:
-                yield _rows(*(c.to_pylist() for c in batch.columns))
+                ids, texts, following = (c.to_pylist() for c in batch.columns)
+                yield _rows(ids, texts, following, _hashed(texts), _hashed(following))
 
     return (
         both.filter(F.col("part").isNull())
@@ -156,7 +174,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-_ARROW = _rows([], [], []).schema
+_ARROW = _rows([], [], [], np.zeros(0, np.uint64), np.zeros(0, np.uint64)).schema
 
 
 def _with_edges(batch: pa.RecordBatch, part, first, last) -> pa.RecordBatch:
