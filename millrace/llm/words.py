@@ -79,8 +79,9 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     place = np.arange(at[-1]) - np.repeat(at[:-1], size)
     byte = data[place + np.repeat(start, size)].astype(np.int64)
     value = _TABLE[(place % _PLACES) * 256 + byte]
-    if size.max() > _PLACES:
-        value = mix(value + (place // _PLACES).astype(np.uint64) * _STEP)
+    if size.max() > _PLACES:  # only the bytes past the table's places, so a word's hash does not depend on its neighbours
+        far = np.flatnonzero(place >= _PLACES)
+        value[far] = mix(value[far] + (place[far] // _PLACES).astype(np.uint64) * _STEP)
     return mix(np.add.reduceat(value, at[:-1]) + size.astype(np.uint64))
 
 
