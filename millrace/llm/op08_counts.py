@@ -6,12 +6,15 @@ characters on its two sides stand side by side in no piece of the vocabulary, so
 of the whole text can cross it, and both chunks see everything that matters on their
 side.  If an overlap has no such place it is widened, up to the rest of the text.
 
-Edge cases: a null or empty text has 0 bytes and 0 tokens.  Repeated rows are counted each.
+Edge cases: a null or empty text has 0 bytes and 0 tokens.  Repeated rows are counted each; a null or repeated
+doc_id is kept as it is.  U+2581 in a text is the library's own mark of a blank and counts as one.  Very long texts, one
+unbroken word among them, are spliced like any other; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,17 +61,18 @@ def chunk_boundaries(pieces: Pieces, marked: str, lo: int, hi: int) -> tuple[lis
     return ids, ends
 
 
-def splice(pieces: Pieces, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[int], int, int]:
-    """Ids of a text, the number of chunks and how often an overlap was widened."""
+def spliced(pieces: Pieces, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[list[int], int]]:
+    """Ids of a text chunk by chunk up to each splice, and how often the chunk's overlap was widened; only one chunk's ids are held."""
     marked = BLANK + text.replace(" ", BLANK)
-    n, lo, out, chunks, widened = len(marked), 0, [], 0, 0
+    n, lo = len(marked), 0
     starts_ok = lambda p: marked[p] == BLANK or pieces.stable(BLANK + marked[p], 1)
     while True:
         hi = min(n, lo + chunk)
         ids, ends = chunk_boundaries(pieces, marked, lo, hi)
-        chunks += 1
+        widened = 0
         if hi == n:
-            return out + ids, chunks, widened
+            yield ids, widened
+            return
         width, cut = overlap, None
         while cut is None:
             # The next chunk begins in the overlap at some place where its start is the library's start.
@@ -88,12 +92,20 @@ def splice(pieces: Pieces, text: str, chunk: int = CHUNK, overlap: int = OVERLAP
                     hi = min(n, lo + 2 * (hi - lo))
                     ids, ends = chunk_boundaries(pieces, marked, lo, hi)
                     if hi == n:
-                        return out + ids, chunks, widened
+                        yield ids, widened
+                        return
                 width = min(2 * width, hi - lo)
-        out += ids[: bisect_left(ends, cut) + 1] if ends[bisect_left(ends, cut)] == cut else []
+        # A character outside the vocabulary is several byte tokens that end at one place: all of them belong to this side.
+        yield ids[: bisect_right(ends, cut)], widened
         lo = cut
 
 
+def splice(pieces: Pieces, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[int], int, int]:
+    """Ids of a text, the number of chunks and how often an overlap was widened."""
+    parts = list(spliced(pieces, text, chunk, overlap))
+    return [i for ids, _ in parts for i in ids], len(parts), sum(w for _, w in parts)
+
+
 def count_tokens(docs: DataFrame, model: str | None = None, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
     """One row per document: bytes, tokens, whether over ``limit``, chunks and widenings of huge texts.  No shuffle."""
 
@@ -107,12 +119,15 @@ def count_tokens(docs: DataFrame, model: str | None = None, huge: int = HUGE, ch
             chunks, wider = np.ones(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
             for lo, hi in common.slices(offsets):
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                plain = [i for i, t in enumerate(texts) if len(t) < huge or BLANK in t]
+                plain = [i for i, t in enumerate(texts) if len(t) < huge]
                 for i, n in zip(plain, pieces.count([texts[i] for i in plain])):
                     tokens[lo + i] = n
                 for i in sorted({*range(len(texts))} - {*plain}):
-                    ids, chunks[lo + i], wider[lo + i] = splice(pieces, texts[i], chunk, overlap)
-                    tokens[lo + i] = len(ids)
+                    chunks[lo + i] = 0
+                    for ids, widened in spliced(pieces, texts[i], chunk, overlap):
+                        tokens[lo + i] += len(ids)
+                        chunks[lo + i] += 1
+                        wider[lo + i] += widened
             size = np.diff(offsets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x) for x in (size, tokens, tokens > limit, chunks, wider))],

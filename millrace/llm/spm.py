@@ -3,8 +3,8 @@
 The model is byte-pair encoding with an identity normaliser and a dummy leading blank.
 A merge can never cross a place whose two neighbouring characters stand side by side in no
 piece; no piece has a blank after another character, so a text falls into units at single
-blanks, and every unit is encoded once and remembered.  Texts with doubled, leading or trailing
-blanks go to the library whole.
+blanks, and every unit is encoded once and remembered.  U+2581 is the model's own mark of a blank, so a text that
+holds it is encoded like one with blanks there.  Texts with doubled, leading or trailing blanks go to the library whole.
 """
 
 from __future__ import annotations
