@@ -15,20 +15,24 @@ filter; a reader needs only it, the index and one block to find a key by binary
 Files are written by executors into the shared folder under a temporary name and renamed, so
 a task that is run again leaves the same file.  Reading goes through the files alone.
 
-Edge cases: a null text is an empty one (end id only).  Null keys sort first and are
+Words are encoded one by one only if the tokenizer file has the rules that make them independent (``splits_words``);
+texts of any other file are encoded whole.
+
+Edge cases: a null or empty text has the end id only; very long texts are one entry.  Null keys sort first and are
 written as a flag in the counter; repeated keys are kept, in an order their texts give.  An
-empty table gives no files and no rows.
+empty table gives no files and no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
 import uuid
 import zlib
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -196,10 +200,33 @@ class Reader:
 
 #: Letters that are whole pre-tokens in runs, are lower case and composed already.
 _LETTERS = "a-zß-öø-ÿ"
-_RUN = re.compile(r"(?:[^\w\s]|_)[.,]|[.,][^\w\s]")
+#: A stop at the end of a word is a pre-token of its own after such a letter or a digit, and after nothing else for sure.
+_STOP_ELSE = re.compile(f"(?:^|[^{_LETTERS}0-9])[.,]")
+_STOP = re.compile(f"(?<=[{_LETTERS}0-9])([.,])(?=[ \n])")
 _SIMPLE = re.compile(f"([{_LETTERS}]+)([.,!;:?]*)")
 
 
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_words(spec: dict) -> bool:
+    """Whether a tokenizer file has the rules that make words independent: composed lower case, white space dropped, its pattern's pre-tokens as bytes."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        [x.get("type") for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        and parts[0].get("pattern") == {"Regex": _PATTERN}
+        and (parts[0].get("behavior"), parts[0].get("invert")) == ("Removed", True)
+        and (parts[1].get("add_prefix_space"), parts[1].get("use_regex")) == (False, False)
+        and spec.get("model", {}).get("type") == "BPE"
+        and not (spec.get("truncation") or spec.get("padding") or spec.get("post_processor"))
+        # Special strings are looked for before all else: those known begin so, hold no white space and take none along.
+        and all(a["content"].startswith("<|") and not re.search(r"\s", a["content"]) and not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) for a in spec.get("added_tokens", []))
+    )
+
+
 class WordIds:
     """Ids of whole texts, word by word: white space always parts pre-tokens and is dropped, so words are independent."""
 
@@ -217,6 +244,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        #: Whether words may be encoded one by one; a file with other rules is given whole texts.
+        self.by_word = splits_words(json.loads(self.tokenizer.to_str()))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 65536 else 4
         self.kind = np.uint16 if self.width == 2 else np.uint32
@@ -242,10 +271,13 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, packed."""
+        if not self.by_word:
+            return self._library(text)
         if "<|" not in text:  # no special string can be in it, so ASCII capitals may go first
             text = text.encode().lower().decode()
-        # A comma or full stop that follows a letter or number is a pre-token of its own if a blank follows it.
-        if not _RUN.search(text):
+        if _STOP_ELSE.search(text):
+            text = _STOP.sub(r" \1", text)
+        else:
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
         return b"".join(map(self.memory.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
@@ -253,15 +285,27 @@ class WordIds:
 # --- operator ----------------------------------------------------------------------------
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its file system, as Spark resolves it, so that executors open the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+_MANIFEST = "part int, path string, length bigint, n_docs bigint, n_tokens bigint, first_id bigint, last_id bigint"
 
 
 def write_shards(docs: DataFrame, folder: str, model: str | None = None, end_id: int = END, parts: int | None = None) -> DataFrame:
-    """Encode and write; returns the manifest: part, path, length, n_docs, n_tokens."""
+    """Encode and write; returns the manifest: part, path, length, n_docs, n_tokens, first and last id (nulls aside)."""
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     # Rows that share a key are spread by a hash of their text and stay in one order.
@@ -277,7 +321,7 @@ def write_shards(docs: DataFrame, folder: str, model: str | None = None, end_id:
 
         words = WordIds.at(model or public_tokenizers.path(MODEL))
         end = np.array([end_id], words.kind).tobytes()
-        writer = sink = None
+        writer = sink = first = last = None
 
         for batch in batches:
             if batch.num_rows and writer is None:
@@ -289,6 +333,7 @@ def write_shards(docs: DataFrame, folder: str, model: str | None = None, end_id:
                 writer = Writer(sink, words.width)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 writer.add(doc_id, words.encode(text.as_py()) + end)
+                first, last = doc_id if first is None else first, doc_id
         if writer is None:
             return
         writer.close()
@@ -296,11 +341,12 @@ def write_shards(docs: DataFrame, folder: str, model: str | None = None, end_id:
         sink.close()
         system.move(spare, name)
         path = f"{folder}/shard-{part:06d}.sst"
+        facts = {"length": length, "n_docs": writer.docs, "n_tokens": writer.ids, "first_id": first, "last_id": last}
         yield pa.RecordBatch.from_pydict(
-            {"part": pa.array([part], pa.int32()), "path": [path], "length": [length], "n_docs": [writer.docs], "n_tokens": [writer.ids]}
+            {"part": pa.array([part], pa.int32()), "path": [path], **{k: pa.array([v], pa.int64()) for k, v in facts.items()}}
         )
 
-    return ordered.mapInArrow(write, "part int, path string, length bigint, n_docs bigint, n_tokens bigint")
+    return ordered.mapInArrow(write, _MANIFEST)
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -331,15 +377,62 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return listed.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def look_up(manifest: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id and found_crc32 (over the 4-byte ids; null if no shard has the key) of the distinct ids of ``asked``.
+
+    Keys are dealt out in ranges; each goes to the shards whose range of ids holds it, past the Bloom filter, by binary
+    search over the block index to one block.  The first of repeated keys is found.
+    """
+    spark = asked.sparkSession
+    files = manifest.filter("first_id IS NOT NULL").orderBy("part").select("path", "length", "first_id", "last_id").collect()  # one small row a file
+    files = [tuple(f) for f in files]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = asked.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+
+    def search(batches):
+        starts, path, shard, source = [f[2] for f in files], None, None, None
+        for batch in batches:
+            wanted, out = sorted(batch.column(0).to_pylist()), []
+            for doc_id in wanted:
+                found, i = None, bisect_right(starts, doc_id) - 1
+                # The ranges of neighbouring shards share at most an end: the first that has the key is the earliest.
+                while i > 0 and files[i - 1][3] >= doc_id:
+                    i -= 1
+                while found is None and 0 <= i < len(files) and files[i][2] <= doc_id:
+                    if files[i][0] != path:
+                        if source is not None:
+                            source.close()
+                        path = files[i][0]
+                        system, name = _open(path)
+                        source = system.open_input_file(name)
+                        shard = Reader(source, files[i][1])
+                    found = shard.get(doc_id)
+                    i += 1
+                kind = np.uint16 if shard is not None and shard.width == 2 else np.uint32
+                out.append(None if found is None else zlib.crc32(np.frombuffer(found, kind).astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array(out, pa.int64())], ["doc_id", "found_crc32"])
+        if source is not None:
+            source.close()
+
+    return keys.repartitionByRange(parts, "doc_id").mapInArrow(search, "doc_id bigint, found_crc32 bigint")
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*out)) or [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+#: The query looks these ids up by key as well.
+ASKED = 50
+
+
 def op4_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns from the files read in order, then ``found_crc32``: of ids divisible by 50, looked up by key (else null)."""
     folder = f"{common.shared_folder(spark)}/millrace-sst-{uuid.uuid4().hex}"
-    manifest = common.written(write_shards(common.documents(spark, sf_dir), folder), "manifest")
-    return read_shards(manifest)
+    docs = common.documents(spark, sf_dir)
+    manifest = common.written(write_shards(docs, folder), "manifest")
+    found = look_up(manifest, docs.filter(F.col("doc_id") % ASKED == 0).select("doc_id"))
+    return read_shards(manifest).join(found, "doc_id", "left")
 
 
 QUERIES = {"op4_token_tables": op4_token_tables}
