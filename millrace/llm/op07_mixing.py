@@ -8,8 +8,8 @@ draws the rest without replacement.
 The draw works on blocks.  A source's documents are dealt into permuted blocks by a hash
 of their key, one block a few thousand words; a block-draw is one block taken once.
 Blocks are drawn in permuted order until the source's remainder is met; inside the one
-block that is cut, documents are drawn in permuted order, the last only if that brings
-the sum nearer the target.
+block that is cut, documents are drawn in permuted order as far as they fit, then the shortest of the others, the last only if that
+brings the sum nearer the target.
 
 Block-draws are then split among output shards by a multivariate-hypergeometric tree:
 the shards are halved again and again, and each half receives its exact number of
@@ -21,8 +21,9 @@ The driver sees one row per source (name, rows, words), never documents or block
 All choices come from MD5 of keys and a fixed seed, so reruns agree.
 
 Edge cases: a null text has size 0; documents without words are taken as often as the
-whole-number part says, at no words.  Null source is a source, last in order.  Repeated keys share a
-block and are ordered by size.  An empty table gives no rows.
+whole-number part says, at no words.  Null source is a source, last in order.  Rows that share an id are dealt by a hash of their
+text too; equal rows share a block and are taken one by one.  A very long document may be all of a block: it is
+taken whole or not at all.  An empty table gives no rows; ``mix`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -88,11 +89,13 @@ def _place(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, 12), 16, 10).cast("bigint")
 
 
-def sized(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def sized(docs: DataFrame, *extra: Column) -> DataFrame:
+    """doc_id, size, source, ``tag`` (hash of the text: tells rows apart that share an id) and ``extra``."""
     return docs.select(
         F.col("doc_id"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.col("source"),
+        F.xxhash64("text").alias("tag"),
         *extra,
     )
 
@@ -111,7 +114,7 @@ def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MAX_
 
 
 def mixed(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MAX_EPOCHS, shards: int = SHARDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``rows`` (doc_id, size, source) plus source_size, target, ``copies`` and ``draws`` (output shards of the copies)."""
+    """``rows`` (doc_id, size, source, tag) plus source_size, target, ``copies`` and ``draws`` (output shards of the copies)."""
     spark = rows.sparkSession
     rows = common.written(rows, "mix-rows")
     sources = plan(rows, weights, most, block_words)
@@ -122,7 +125,7 @@ def mixed(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MAX
         "target",
         "epochs",
         "remainder",
-        (_place("block", F.lit(seed), rows["doc_id"]) % F.col("blocks")).alias("__block"),
+        (_place("block", F.lit(seed), rows["doc_id"], rows["tag"]) % F.col("blocks")).alias("__block"),
     )
     # Blocks in permuted order (their numbers come from a hash): words before each block.
     earlier = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -163,13 +166,19 @@ def mixed(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MAX
     rows = blocked.join(facts, blocked["source"].eqNullSafe(facts["__source"]) & (F.col("__block") == F.col("__b"))).drop("__source", "__b")
     # Only a cut block is ordered document by document: one block per source, of bounded size.
     whole = rows.filter(~F.col("__cut")).withColumn("copies", F.col("epochs") + F.col("__whole").cast("int"))
-    inside = Window.partitionBy("source", "__block").orderBy(_place("doc", F.lit(seed), F.col("doc_id")), "doc_id", "size")
-    running = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Documents in permuted order as far as they fit; of the others the shortest fill what is left, so one that is refused is in no other's way.
+    keys = [_place("doc", F.lit(seed), F.col("doc_id"), F.col("tag")), "doc_id", "tag", "size"]
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    permuted = Window.partitionBy("source", "__block").orderBy(*keys).rowsBetween(*upto)
+    shortest = Window.partitionBy("source", "__block", "__fits").orderBy("size", *keys).rowsBetween(*upto)
     cut = (
         rows.filter(F.col("__cut"))
-        .withColumn("__sum", running)
-        .withColumn("copies", F.col("epochs") + (F.col("__sum") - F.col("size") / 2.0 <= F.col("__left")).cast("int"))
-        .drop("__sum")
+        .withColumn("__sum", F.sum("size").over(permuted))
+        .withColumn("__fits", F.col("__sum") <= F.col("__left"))
+        .withColumn("__taken", F.coalesce(F.max(F.when(F.col("__fits"), F.col("__sum"))).over(Window.partitionBy("source", "__block")), F.lit(0)))
+        .withColumn("__more", F.col("__taken") + F.sum("size").over(shortest) - F.col("size") / 2.0 <= F.col("__left"))
+        .withColumn("copies", F.col("epochs") + (F.col("__fits") | F.col("__more")).cast("int"))
+        .drop("__sum", "__fits", "__taken", "__more")
     )
     return (
         whole.unionByName(cut)
@@ -186,22 +195,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "size",
         "source_size",
         "target",
-        (F.col("size") * F.col("copies")).cast("bigint").alias("taken"),
+        (F.col("size") * F.size("draws")).cast("bigint").alias("taken"),  # what the tree's leaves hold of it
         F.col("copies").cast("int").alias("copies"),
         "draws",
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, repeated as often as it takes them, in shuffled order within output shards."""
+    """The documents that the mix takes, repeated as often as it takes them, in shuffled order within output shards.
+
+    Every row goes through the mix with all its columns, so rows that share id and size are taken as ``mixed`` says of each.
+    """
     columns = docs.columns
-    rows = mixed(sized(docs)).groupBy("doc_id", "size").agg(F.max("draws").alias("__draws"))
-    key = rows.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__draws")
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    taken = docs.join(key, docs["doc_id"].eqNullSafe(key["__id"]) & (size == key["__size"]))
-    taken = taken.select(*(docs[c] for c in columns), F.posexplode("__draws").alias("__pass", "__shard"))
-    shuffled = taken.withColumn("__at", _place("local", F.lit(str(SEED)), F.col("doc_id"), F.col("__pass")))
-    return shuffled.repartitionByRange("__shard", "__at").sortWithinPartitions("__shard", "__at").select(*columns)
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns))).alias("__row")
+    taken = mixed(sized(docs, whole)).select("doc_id", "tag", "__row", F.posexplode("draws").alias("__pass", "__shard"))
+    shuffled = taken.withColumn("__at", _place("local", F.lit(str(SEED)), F.col("doc_id"), F.col("tag"), F.col("__pass")))
+    ordered = shuffled.repartitionByRange("__shard", "__at").sortWithinPartitions("__shard", "__at")
+    return ordered.select(*(F.col(f"__row.c{k}").alias(c) for k, c in enumerate(columns)))
 
 
 QUERIES = {"op7_mixing": op7_mixing}
