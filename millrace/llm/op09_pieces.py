@@ -7,13 +7,14 @@ minus infinity if not.  A giant text is cut into chunks.  For a chunk, every pie
 hold the last character before the cut is an entry state, likewise at its end an exit state, and a
 max-plus matrix says which exits an entry reaches (finite weights are all 0, so rows
 are kept as bit sets and max-plus products become unions).  Matrices of neighbouring
-chunks combine associatively; a scan over them gives each chunk its one entry and exit, and
+chunks combine associatively; a tree scan over them gives each chunk its one entry and exit, and
 every chunk traces its own pieces back, independent of the others.
 
 Other texts are encoded unit by unit (see ``spm``).  Decoding puts piece bytes together.
 
-Edge cases: a null or empty text has no ids and decodes to the empty text.  U+2581 in a text decodes
-to a blank, as with the library; ``round_trip`` tells.  Repeated rows are encoded each.
+Edge cases: a null or empty text has no ids and decodes to the empty text.  U+2581 in a text is the library's
+own mark of a blank: it is encoded like one and decodes to one; ``round_trip`` tells.  Repeated rows and ids are encoded
+each; an empty table gives no rows; columns that the result names itself are replaced, others kept or not read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from millrace.llm.spm import BLANK, Memory, Pieces
 MODEL = "piece_bpe_32k.model"
 #: Characters from which a text is giant, and of a chunk.
 GIANT, CHUNK = 65_536, 8_192
+#: Matrices that a task of the scan combines; most states at a cut (bits of a packed row).
+FAN, STATES = 256, 256
 
 
 class Lattice:
@@ -166,15 +169,17 @@ def combined(first: list[int], second: list[int]) -> list[int]:
     return out
 
 
-def resolved(matrices: list[list[int]]) -> list[tuple[int, int]]:
-    """Entry and exit state of every chunk: prefix products forward, then the only way back from the end."""
-    ahead = [[1]]
+def resolved(matrices: list[list[int]], entry: int = 0, exit_: int | None = None) -> list[tuple[int, int]]:
+    """Entry and exit state of every chunk between ``entry`` and ``exit_`` (None: the only one reached): prefix products forward, then the only way back."""
+    ahead = [[int(k == entry) for k in range(STATES)]]
     for m in matrices:
         ahead.append(combined(ahead[-1], m))
-    ends = [k for k, row in enumerate(ahead[-1]) if row]
-    if len(ends) != 1:
-        raise ValueError("a text has one encoding")
-    out, at = [], ends[0]
+    if exit_ is None:
+        ends = [k for k, row in enumerate(ahead[-1]) if row]
+        if len(ends) != 1:
+            raise ValueError("a text has one encoding")
+        exit_ = ends[0]
+    out, at = [], exit_
     for m, before in zip(reversed(matrices), reversed(ahead[:-1])):
         ways = [k for k in range(m[at].bit_length()) if m[at] >> k & 1 and before[k]]
         if len(ways) != 1:
@@ -184,6 +189,21 @@ def resolved(matrices: list[list[int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def product(matrices: list[list[int]]) -> list[int]:
+    """The matrix of neighbouring chunks together, combined pair by pair."""
+    while len(matrices) > 1:
+        matrices = [combined(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def _packed(matrix: list[int]) -> bytes:
+    return b"".join(row.to_bytes(STATES // 8, "little") for row in matrix)
+
+
+def _matrix(packed: bytes) -> list[int]:
+    return [int.from_bytes(packed[p : p + STATES // 8], "little") for p in range(0, len(packed), STATES // 8)]
+
+
 def _cuts(n: int, chunk: int) -> list[int]:
     return [*range(0, n, chunk), n]
 
@@ -216,23 +236,8 @@ def _giants(docs: DataFrame, path: str | None, chunk: int) -> DataFrame:
     def measure(batches):
         lattice = Lattice.at(path or _default())
         for batch in batches:
-            made = [lattice.matrix(t, a, b) for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("piece", "a", "b")))]
-            packed = [b"".join(row.to_bytes(32, "little") for row in m) for m in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["__row", "k", "matrix"])
-
-    def scan(table):
-        order = np.argsort(table.column("k").to_numpy())
-        packed = [table.column("matrix")[int(i)].as_py() for i in order]
-        ways = resolved([[int.from_bytes(m[p : p + 32], "little") for p in range(0, len(m), 32)] for m in packed])
-        n = len(ways)
-        return pa.table(
-            {
-                "__row": pa.array([table.column("__row")[0].as_py()] * n, pa.int64()),
-                "k": pa.array(range(n), pa.int32()),
-                "x": pa.array([w[0] for w in ways], pa.int32()),
-                "y": pa.array([w[1] for w in ways], pa.int32()),
-            }
-        )
+            made = [_packed(lattice.matrix(t, a, b)) for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("piece", "a", "b")))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["__row", "k", "matrix"])
 
     def trace(batches):
         lattice = Lattice.at(path or _default())
@@ -243,17 +248,53 @@ def _giants(docs: DataFrame, path: str | None, chunk: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("__row"), batch.column("k"), pa.array(out, pa.binary())], ["__row", "k", "part"])
 
     chunks = docs.select("__row", "text").mapInArrow(cut, "__row bigint, k int, piece string, a int, b int")
-    # Chunks are few bytes and much work: they are dealt out by number, not by size.
+    # Chunks are few bytes and much work: they are dealt out by number, not by size, and by a key that no join has dealt them by.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = F.xxhash64(F.lit("chunk"), "__row", "k")
     chunks = common.written(chunks, "chunks")
-    matrices = chunks.repartition(parts, "__row", "k").mapInArrow(measure, "__row bigint, k int, matrix binary")
-    ways = matrices.groupBy("__row").applyInArrow(scan, "__row bigint, k int, x int, y int")
-    known = chunks.join(ways, ["__row", "k"]).select("__row", "k", "piece", "a", "b", "x", "y")
-    traced = known.repartition(parts, "__row", "k").mapInArrow(trace, "__row bigint, k int, part binary")
+    matrices = common.written(chunks.repartition(parts, dealt).mapInArrow(measure, "__row bigint, k int, matrix binary"), "matrices")
+    known = chunks.join(_ways(matrices), ["__row", "k"]).select("__row", "k", "piece", "a", "b", "x", "y")
+    traced = known.repartition(parts, dealt).mapInArrow(trace, "__row bigint, k int, part binary")
     parts = traced.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))
     return parts.select("__row", F.expr("aggregate(parts, cast('' as binary), (whole, p) -> concat(whole, p.part))").alias("ids"))
 
 
+def _ways(matrices: DataFrame, fan: int | None = None) -> DataFrame:
+    """__row, k, x, y: entry and exit state of every chunk, by a tree scan over (__row, k, matrix).
+
+    Up the tree, ``fan`` neighbouring matrices at a time are combined to one; the top gives each text its one way, and down the
+    tree each group resolves its members between its own entry and exit.  A task holds ``fan`` matrices however long a text is.
+    """
+    fan = fan or FAN
+    up = F.floor(F.col("k") / fan).cast("int")
+
+    def combine(table):
+        order = np.argsort(table.column("k").to_numpy())
+        whole = product([_matrix(table.column("matrix")[int(i)].as_py()) for i in order])
+        return pa.table({"__row": table.column("__row")[:1], "k": table.column("up")[:1], "matrix": pa.array([_packed(whole)], pa.binary())})
+
+    def resolve(table):
+        order = np.argsort(table.column("k").to_numpy())
+        x, y = table.column("up_x")[0].as_py(), table.column("up_y")[0].as_py()
+        ways = resolved([_matrix(table.column("matrix")[int(i)].as_py()) for i in order], x or 0, y)
+        states = [pa.array([w[c] for w in ways], pa.int32()) for c in (0, 1)]
+        return pa.table({"__row": table.column("__row").take(pa.array(order)), "k": table.column("k").take(pa.array(order)), "x": states[0], "y": states[1]})
+
+    levels = [matrices]
+    last = matrices.agg(F.max("k")).first()[0] or 0
+    while last >= fan:
+        above = levels[-1].withColumn("up", up).groupBy("__row", "up").applyInArrow(combine, "__row bigint, k int, matrix binary")
+        levels.append(common.written(above, "products"))
+        last //= fan
+    none = F.lit(None).cast("int")
+    ways = levels[-1].withColumns({"up": F.lit(0), "up_x": none, "up_y": none})
+    for level in reversed(levels[:-1]):
+        above = ways.groupBy("__row", "up").applyInArrow(resolve, "__row bigint, k int, x int, y int")
+        above = common.written(above, "ways").select("__row", F.col("k").alias("up"), F.col("x").alias("up_x"), F.col("y").alias("up_y"))
+        ways = level.withColumn("up", up).join(above, ["__row", "up"])
+    return ways.groupBy("__row", "up").applyInArrow(resolve, "__row bigint, k int, x int, y int")
+
+
 def _default() -> str:
     import public_tokenizers
 
@@ -265,8 +306,7 @@ def _finished(docs: DataFrame, others: list[str], finish, schema: str, path: str
 
     Encoding and what is made of the ids happen in one Python call a slice.
     """
-    # A giant text is one with that many characters that has none of the blank marks itself.
-    is_giant = F.coalesce((F.length("text") >= giant) & (F.instr("text", BLANK) == 0), F.lit(False))
+    is_giant = F.coalesce(F.length("text") >= giant, F.lit(False))
 
     def plain(batches):
         pieces = Pieces.at(path or _default())
