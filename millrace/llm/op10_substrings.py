@@ -39,6 +39,8 @@ from millrace.llm.words import mix, windows, words
 WINDOW, GRAM = 50, 10
 #: Distinct spans of a block; a group holds two blocks.
 BLOCK = 1024
+#: Spans that a task streams, on average.
+TASK_SPANS = 16_384
 #: Most words of one broadcast automaton.
 SHARD_WORDS = 200_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -221,15 +223,19 @@ def _batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(a, kinds)], ["anchor", "span", "doc_id", "lead", "words"])
 
 
-def _matched(spans: DataFrame, window: int) -> DataFrame:
-    """anchor, span and the ranges (from the anchor) that match spans of smaller documents."""
-    counts = spans.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = spans.join(counts, "anchor").withColumn("own", F.pmod(F.xxhash64("span"), F.col("blocks")).cast("int"))
+def _matched(spans: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
+    """anchor, span and the ranges (from the anchor) that match spans of smaller documents; ``firsts``: the spans without their words."""
+    counts = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    counts = common.written(counts, "span-counts")
+    placed = spans.join(counts.drop("n"), "anchor").withColumn("own", F.pmod(F.xxhash64("span"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
         {"i": F.least("own", "other"), "j": F.greatest("own", "other")}
     )
-    # Small groups share a task's call: anchors are gathered by a hash, large ones stand alone.
-    several = F.when(F.col("blocks") > 1, F.xxhash64("anchor", "i", "j")).otherwise(F.pmod(F.col("anchor"), F.lit(1 << 14)))
+    # Small groups share a call: anchors are gathered by a hash, about a block's worth of spans a call; large ones stand alone.
+    total = counts.agg(F.count(F.lit(1)).alias("anchors"), F.sum("n").alias("spans"), F.sum(F.col("blocks") * F.col("n")).alias("dealt")).first()
+    calls = max(1, (total["spans"] or 0) // BLOCK)
+    tasks = max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total["dealt"] or 0) // TASK_SPANS)
+    several = F.when(F.col("blocks") > 1, F.xxhash64("anchor", "i", "j")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(calls)))
 
     def stream(table):
         anchor, i, j = (table.column(c).to_pylist() for c in ("anchor", "i", "j"))
@@ -253,7 +259,8 @@ def _matched(spans: DataFrame, window: int) -> DataFrame:
         a = list(zip(*out)) or [[]] * 4
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("anchor", "span", "lo", "hi"), a, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))})
 
-    grouped = dealt.select(several.alias("g"), "anchor", "i", "j", "span", "doc_id", "lead", "words").groupBy("g")
+    # Spans are few bytes and much work, so the number of tasks goes by spans, not by bytes.
+    grouped = dealt.select(several.alias("g"), "anchor", "i", "j", "span", "doc_id", "lead", "words").repartition(int(tasks), "g").groupBy("g")
     return grouped.applyInArrow(stream, "anchor bigint, span bigint, lo int, hi int")
 
 
@@ -263,12 +270,13 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"anchors are made for windows of {WINDOW} words")
     marked = common.written(_occurrences(docs), "anchors")
     shared = marked.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    held = common.written(marked.join(shared, "anchor"), "shared")
+    # Written before it is joined: then both sides of the join are plain shuffles, and adaptive execution splits a hot anchor.
+    held = common.written(marked.join(common.written(shared, "shared-anchors"), "anchor"), "shared")
     # One row per distinct span of an anchor, at its first document; copies collapse before the shuffle.
     firsts = common.written(held.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("f")).select("anchor", "span", "f.*"), "firsts")
     several = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("n > 1 and lo < hi")
-    mixed = firsts.join(several.select("anchor"), "anchor")
-    matched = common.written(_matched(_spans_of(mixed, docs), window), "matched")
+    mixed = common.written(firsts.join(common.written(several.select("anchor"), "several"), "anchor"), "mixed")
+    matched = common.written(_matched(_spans_of(mixed, docs), mixed, window), "matched")
     first_doc = firsts.select("anchor", "span", F.col("doc_id").alias("first_doc"))
     held = held.join(first_doc, ["anchor", "span"])
     copied = held.filter(F.col("doc_id") > F.col("first_doc")).select(
