@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """One row per document: doc_id, n_shingles, component_id, kept."""
     signed = common.written(signatures(docs, k), "signatures")
     full = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("class"))
+    # Written before it is joined: then both sides of the join are plain shuffles, and adaptive execution splits a hot digest.
+    classes = common.written(full.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
     # Every row with its class; the registers stay with the row that stands for the class.
     members = common.written(
         signed.join(classes, "digest", "left").select(
