@@ -9,7 +9,8 @@ range partition numbers its own rows, and the counts of the ranges before it are
 No shard is ever gathered in one task.
 
 Edge cases: a null key is a key of its own (all such rows share a shard); repeated keys share a
-shard and get consecutive slots; a null text has size 16 and the checksum of no bytes.
+shard and get consecutive slots in the order of size and checksum, so reruns agree up to equal rows; a null or empty text has
+size 16 and the checksum of no bytes; a very long one is only measured.  An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,13 +37,12 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (F.array_position(contest, F.array_max(contest)) - 1).cast("int")
 
 
-def with_slots(rows: DataFrame, shard: str, key: str) -> DataFrame:
-    """``rows`` plus ``slot``: the place in the shard by ``key``, gapless from 0."""
+def with_slots(rows: DataFrame, shard: str, key: str, *ties: str) -> DataFrame:
+    """``rows`` plus ``slot``: the place in the shard by ``key``, then ``ties``, gapless from 0."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = common.written(
-        rows.repartitionByRange(parts, F.col(shard), F.col(key).asc_nulls_first()).withColumn("__part", F.spark_partition_id()), "slots"
-    )
+    order = [F.col(c).asc_nulls_first() for c in (key, *ties)]
+    sorted_rows = common.written(rows.repartitionByRange(parts, F.col(shard), *order).withColumn("__part", F.spark_partition_id()), "slots")
     before = Window.partitionBy(shard).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range partition and shard: a few rows more than there are partitions.
     starts = (
@@ -51,7 +51,7 @@ def with_slots(rows: DataFrame, shard: str, key: str) -> DataFrame:
         .withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .drop("__n")
     )
-    inside = Window.partitionBy(shard, "__part").orderBy(F.col(key).asc_nulls_first())
+    inside = Window.partitionBy(shard, "__part").orderBy(*order)
     return (
         sorted_rows.withColumn("__at", F.row_number().over(inside) - 1)
         .join(starts, [shard, "__part"])
@@ -71,7 +71,7 @@ def sharded(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] |
         shard_of(F.col("doc_id"), weights).alias("shard"),
         (shard_of(F.col("doc_id"), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    return with_slots(rows, "shard", "doc_id").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(rows, "shard", "doc_id", "size", "text_crc32").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
