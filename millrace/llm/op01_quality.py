@@ -10,7 +10,8 @@ sets the temperature of the probabilities.
 Only labels whose ``crc32(doc_id as text) % 3`` is not 1 are learned from; id, language,
 source and label are never inputs of a score.
 
-Edge cases: a null or empty text has the zero vector and is scored like any other.  Ids labelled both ways
+Edge cases: a null or empty text has the zero vector and is scored like any other, a very long one by all its words;
+other columns are not read; texts that tie score alike.  Ids labelled both ways
 are left out of the fit; without usable labels of both classes every score is the share of
 label 1 (0.5 without any).  Repeated rows are scored each; an empty table gives no rows.
 """
@@ -76,7 +77,7 @@ def gathered(column: pa.Array, index: np.ndarray) -> tuple[np.ndarray, np.ndarra
         row = np.repeat(np.arange(hi - lo), np.diff(first))
         for step in range(1, SPAN + 1):
             same = row[step:] == row[:-step]
-            for left, right in ((shape, shape), (bucket, shape)):
+            for left, right in ((shape, shape), (bucket, shape), (bucket, bucket)):
                 pairs, times = np.unique(np.concatenate([left[:-step][same] * n + right[step:][same], left[step:][same] * n + right[:-step][same]]), return_counts=True)
                 np.add.at(total, pairs // n, index[pairs % n] * times[:, None])
                 np.add.at(count, pairs // n, times)
@@ -209,7 +210,9 @@ def train(sample: DataFrame) -> tuple[np.ndarray, Network]:
             found = pooled(batch.column(1), vectors)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in found], pa.binary())], ["doc_id", "quality", "vector"])
 
-    rows = sample.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(pool, "doc_id bigint, quality int, vector binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = sample.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(pool, "doc_id bigint, quality int, vector binary")
+    # Of rows that share an id one text is learned from, the same in every run.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("vector", "quality")).alias("one")).select("doc_id", "one.*").orderBy("doc_id").collect()
     x = np.array([np.frombuffer(r["vector"], np.float32) for r in rows], np.float32).reshape(len(rows), DIMS + 1)
     y = np.array([r["quality"] for r in rows], np.int64)
     held = np.array([(r["doc_id"] * 0x9E3779B97F4A7C15 >> 32) % 5 == 0 for r in rows], bool)
