@@ -112,15 +112,21 @@ def test_tables_round_trip_and_look_up(spark, corpus, awkward, nothing, tmp_path
         keys = [r[0] for r in rows]
         assert keys == sorted(keys, key=lambda i: (i is not None, i or 0))
         for f in files:
-            with open(f["path"], "rb") as source:
+            system, name = op04_tables._open(f["path"])
+            with system.open_input_file(name) as source:
                 shard = op04_tables.Reader(source, f["length"])
                 first = {}
                 for key, ids in shard:
                     first.setdefault(key, ids)
                 assert all(shard.get(key) == ids for key, ids in first.items() if key is not None)
                 assert shard.get(10**12) is None
+        ids = {r[0]: r[3] for r in reversed(rows)}
+        asked = spark.createDataFrame([(i,) for i in [*{r["doc_id"] for r in docs.collect()}, 10**12, -4]], "doc_id bigint")
+        found = {r["doc_id"]: r["found_crc32"] for r in op04_tables.look_up(manifest, asked).collect()}
+        assert found == {i: ids.get(i) for i in found} and len(found) == len(set(ids) - {None}) + 2
     empty = op04_tables.write_shards(nothing, f"{tmp_path}/none", parts=3)
     assert empty.count() == 0 and op04_tables.read_shards(empty).count() == 0
+    assert {r["found_crc32"] for r in op04_tables.look_up(empty, spark.range(3).toDF("doc_id")).collect()} == {None}
 
 
 def test_fingerprints_next_texts_and_search(spark, corpus, awkward, nothing):
