@@ -7,6 +7,7 @@ import hmac
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,78 +91,80 @@ def tokens_of(text: str) -> int:
     return -(-len(text.split()) * 135 // 100)
 
 
+def _heading(line: str) -> tuple[int, str] | None:
+    """Level and text of a Markdown heading line."""
+    bare = line.lstrip()
+    level = len(bare) - len(bare.lstrip("#"))
+    if len(line) - len(bare) > 3 or not 1 <= level <= 6 or not bare[level : level + 1].isspace():
+        return None
+    return level, T.plain(bare[level:].strip().rstrip("#").rstrip())
+
+
 def sections(markdown: str) -> list[tuple[str, str]]:
     """(breadcrumb, body) of the parts under each heading; fences are not looked into."""
-    out, trail, path, body, fenced = [], [], "", [], False
-    for line in [*markdown.split("\n"), None]:
-        if line is not None and re.match(r"\s{0,3}(```|~~~)", line):
-            fenced = not fenced
-        heading = None if line is None or fenced else re.match(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$", line)
-        if line is not None and not heading:
-            body.append(line)
-            continue
-        if "\n".join(body).strip():
-            out.append((path, "\n".join(body)))
-        if heading:
-            level = len(heading[1])
-            trail = [t for t in trail if t[0] < level] + [(level, re.sub(r"[*_`]", "", heading[2]))]
-            path, body = " > ".join(t for _, t in trail), []
+    lines = markdown.split("\n")
+    fence = np.cumsum([line.lstrip()[:3] in ("```", "~~~") for line in lines])
+    marks = [(k, h) for k, line in enumerate(lines) if fence[k] % 2 == 0 and (h := _heading(line))]
+    out, open_at = [], {}
+    for (k, head), end in zip([(-1, None), *marks], [*(k for k, _ in marks), len(lines)]):
+        if head:
+            open_at = {level: text for level, text in open_at.items() if level < head[0]} | {head[0]: head[1]}
+        body = "\n".join(lines[k + 1 : end])
+        if body.strip():
+            out.append((" > ".join(open_at[level] for level in sorted(open_at)), body))
     return out
 
 
+def _parts(text: str) -> tuple[list[str], list[int]]:
+    """What a window may end after: paragraphs, and the sentences of those that are too long; and each part's paragraph."""
+    parts, paragraph = [], []
+    for k, block in enumerate(re.split(r"\n[ \t]*\n", text)):
+        pieces = [block] if tokens_of(block) <= MAX_TOKENS else re.split(r"(?<=[.!?])\s+", block)
+        pieces = [p.strip() for p in pieces if p.strip()]
+        parts += pieces
+        paragraph += [k] * len(pieces)
+    return parts, paragraph
+
+
 def windows(text: str) -> list[str]:
-    """Windows of at most ``MAX_TOKENS``, paragraphs kept whole where they fit, a share of each carried into the next, a sliver joined to the last."""
+    """Windows of at most ``MAX_TOKENS`` over running token totals.
+
+    A window takes as many whole parts as it holds (one at least, so a sentence is never cut); the next one begins as many
+    whole parts back as make up ``OVERLAP`` of it, one at least, if there is room for them and the part that follows.  What is left
+    over below a quarter of ``MIN_TOKENS`` joins the last window.
+    """
     if tokens_of(text) <= MAX_TOKENS:
         return [text]
-    units: list[str] = []
-    for paragraph in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
-        if tokens_of(paragraph) <= MAX_TOKENS:
-            units.append(paragraph)
-        else:
-            units += _sentences(paragraph)
-    out, held = [], []
-    for unit in units:
-        if held and sum(map(tokens_of, held)) + tokens_of(unit) > MAX_TOKENS:
-            out.append("\n\n".join(held))
-            budget, tail = OVERLAP * sum(map(tokens_of, held)), []
-            for earlier in reversed(held):
-                if tail and sum(map(tokens_of, tail)) + tokens_of(earlier) > budget:
-                    break
-                tail.insert(0, earlier)
-                if sum(map(tokens_of, tail)) >= budget:
-                    break
-            held = tail if sum(map(tokens_of, tail)) + tokens_of(unit) <= MAX_TOKENS else []
-        held.append(unit)
-    last = "\n\n".join(held)
-    if out and tokens_of(last) < MIN_TOKENS / 4:
-        out[-1] += "\n\n" + last
-    else:
-        out.append(last)
-    return out
-
-
-def _sentences(paragraph: str) -> list[str]:
-    out, held = [], ""
-    for sentence in re.findall(r"[^.!?]+[.!?]+\s*|[^.!?]+$", paragraph) or [paragraph]:
-        if held and tokens_of(held + sentence) > MAX_TOKENS:
-            out.append(held.strip())
-            held = ""
-        held += sentence
-    return [*out, held.strip()] if held.strip() else out
+    parts, paragraph = _parts(text)
+    total = np.cumsum([0, *map(tokens_of, parts)])
+    n, lo, cuts = len(parts), 0, []
+    while lo < n:
+        hi = max(int(np.searchsorted(total, total[lo] + MAX_TOKENS, "right")) - 1, lo + 1)
+        if cuts and hi == n and total[n] - total[lo] < MIN_TOKENS / 4:
+            cuts[-1] = (cuts[-1][0], n)
+            break
+        cuts.append((lo, hi))
+        if hi == n:
+            break
+        share = total[hi] - OVERLAP * (total[hi] - total[lo])
+        back = max(min(int(np.searchsorted(total, share)), hi - 1), lo + 1)
+        lo = back if total[hi + 1] - total[back] <= MAX_TOKENS else hi
+    return ["".join(parts[k] + ("" if k + 1 == hi else " " if paragraph[k] == paragraph[k + 1] else "\n\n") for k in range(lo, hi)) for lo, hi in cuts]
 
 
 def chunks(markdown: str, title: str | None = None) -> tuple[list[dict], str | None]:
-    """Chunks (ordinal, heading_path, text, tokens, embed_text) of an article, or the reason for none."""
-    plain = markdown.strip()
-    n = len(plain.split())
+    """Chunks (ordinal, heading_path, text, tokens, embed_text) of an article in plain text, or the reason for none."""
+    body = re.sub(r"\A---\r?\n.*?\r?\n---\r?\n", "", markdown, count=1, flags=re.S)
+    whole = T.plain(body)
+    n = len(whole.split())
     if n < THIN:
         return [], "thin_content"
-    parts = [("", plain)] if n < SINGLE else [(p, w) for p, b in sections(markdown) if b.strip() for w in windows(b.strip())]
+    parts = [("", whole)] if n < SINGLE else [(p, w) for p, b in sections(body) for t in (T.plain(b),) if t for w in windows(t)]
     out = []
-    for path, body in parts or [("", plain)]:
+    for path, text in parts or [("", whole)]:
         crumbs = [c for k, c in enumerate(path.split(" > ")) if c and not (k == 0 and c == title)]
         prefix = " > ".join(filter(None, [title, *crumbs]))
-        out.append({"ordinal": len(out), "heading_path": path or None, "text": body, "tokens": tokens_of(body), "embed_text": f"{prefix}\n\n{body}" if prefix else body})
+        out.append({"ordinal": len(out), "heading_path": path or None, "text": text, "tokens": tokens_of(text), "embed_text": f"{prefix}\n\n{text}" if prefix else text})
     return out, None
 
 

@@ -7,8 +7,11 @@ not a Spark job and is modelled as a table of outcomes.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
+from datetime import datetime, timedelta, timezone
+from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -16,9 +19,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = set("script style noscript template svg form iframe nav header footer aside".split())
+#: Elements without text of their own, and the frame around an article.
+DROPPED = set("script style noscript template svg canvas iframe object video audio picture map form input select option textarea button label nav header footer aside".split())
 BLOCK = set("p div section article main li ul ol table tr td th h1 h2 h3 h4 h5 h6 pre blockquote figure br hr".split())
-NEGATIVE = re.compile(r"comment|sidebar|share|social|promo|related|breadcrumb|cookie|advert|menu|popup", re.I)
+#: Words of a class or id that tell the frame of a page, and those that tell an article all the same.
+FRAME = set(
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies drawer footer header hidden masthead menu modal nav navbar "
+    "navigation newsletter pager pagination popup promo recommend recommended related share sharing sidebar signup social subscribe toolbar widget".split()
+)
+ARTICLE = set("article blog body content devotional entry main markdown post prose sermon story teaching text".split())
+CONTAINERS = set("div section body main article".split())
 LEAST_MAIN = 200
 
 
@@ -53,73 +63,203 @@ class _Tree(HTMLParser):
         self.open[-1].kids.append(data)
 
 
-def _walk(node):
-    yield node
-    for kid in node.kids:
-        if isinstance(kid, _Node):
-            yield from _walk(kid)
-
-
-def _text(node, out: list[str]) -> None:
-    for kid in node.kids:
-        if isinstance(kid, str):
-            out.append(kid)
-        elif kid.tag not in DROPPED and not NEGATIVE.search(kid.attrs.get("class", "") + " " + kid.attrs.get("id", "")):
-            if kid.tag in BLOCK:
-                out.append("\n")
-            if kid.tag[0] == "h" and kid.tag[1:].isdigit():
-                out.append("#" * int(kid.tag[1:]) + " ")
-            if kid.tag == "li":
-                out.append("- ")
-            _text(kid, out)
-            if kid.tag in BLOCK:
-                out.append("\n")
-
-
-def _plain(node) -> str:
-    out: list[str] = []
-    _text(node, out)
-    lines = [re.sub(r"[ \t\r\f\v]+", " ", line).strip() for line in "".join(out).split("\n")]
+def _framed(node: _Node) -> bool:
+    """Whether an element is never part of the article, by its name, its visibility or the words of its class and id."""
+    if node.tag in DROPPED or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
+        return True
+    words = set(re.split(r"[\s_-]+", f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()))
+    return not words.isdisjoint(FRAME) and words.isdisjoint(ARTICLE)
+
+
+class _Flat:
+    """A tree in one pass over a stack: its elements in order, pieces of visible text, and each visible element's range of pieces.
+
+    Running totals of characters, all and inside links, give the size and link share of any element without
+    going through it again, however deep elements are nested.
+    """
+
+    def __init__(self, root: _Node):
+        self.nodes: list[_Node] = []
+        self.pieces: list[str] = []
+        self.ranges: dict[int, tuple[int, int]] = {}
+        size, linked = [0], [0]
+
+        def put(piece: str, in_link: bool, counts: bool) -> None:
+            n = len(" ".join(piece.split())) if counts else 0
+            self.pieces.append(piece)
+            size.append(size[-1] + n)
+            linked.append(linked[-1] + n * in_link)
+
+        enter, leave = 0, 1
+        todo: list[tuple] = [(enter, root, True, False)]
+        while todo:
+            step, node, shown, in_link = todo.pop()
+            if isinstance(node, str):
+                if shown:
+                    put(node, in_link, True)
+                continue
+            if step == leave:
+                if node.tag in BLOCK:
+                    put("\n", False, False)
+                self.ranges[id(node)] = (self.ranges[id(node)][0], len(self.pieces))
+                continue
+            self.nodes.append(node)
+            shown = shown and not _framed(node)
+            if shown:
+                if node.tag in BLOCK:
+                    put("\n", False, False)
+                self.ranges[id(node)] = (len(self.pieces), len(self.pieces))
+                level = node.tag[1:] if node.tag[0] == "h" else ""
+                if level.isdigit():
+                    put("#" * int(level) + " ", False, False)
+                elif node.tag == "li":
+                    put("- ", False, False)
+                todo.append((leave, node, True, in_link))
+            todo += [(enter, kid, shown, in_link or node.tag == "a") for kid in reversed(node.kids)]
+        self.size, self.linked = size, linked
+
+    def length(self, node: _Node) -> int:
+        lo, hi = self.ranges.get(id(node), (0, 0))
+        return self.size[hi] - self.size[lo]
+
+    def prose(self, node: _Node) -> int:
+        """Characters, those inside links counted against an element."""
+        lo, hi = self.ranges.get(id(node), (0, 0))
+        return self.size[hi] - self.size[lo] - 3 * (self.linked[hi] - self.linked[lo])
+
+    def text(self, node: _Node) -> str:
+        lo, hi = self.ranges.get(id(node), (0, 0))
+        return _lines("".join(self.pieces[lo:hi]))
+
+
+def _lines(text: str) -> str:
+    lines = (" ".join(line.split()) for line in text.split("\n"))
     return "\n".join(line for line in lines if line)
 
 
-def extract(html: str) -> dict:
-    """title, description, lang, canonical, robots, text (Markdown-like), links, block hashes of a page."""
+def _own_text(node: _Node) -> str:
+    return _lines("".join(k for k in node.kids if isinstance(k, str)))
+
+
+def article_data(scripts: list[str]) -> dict:
+    """The first JSON-LD object of an article or page type, looked for in lists and ``@graph`` breadth first."""
+    for script in scripts:
+        try:
+            level = [json.loads(script)]
+        except ValueError:
+            continue
+        for _ in range(8):
+            below = []
+            for node in level:
+                if isinstance(node, list):
+                    below += node
+                elif isinstance(node, dict):
+                    kinds = node.get("@type")
+                    kinds = kinds if isinstance(kinds, list) else [kinds]
+                    if any(isinstance(k, str) and re.search("article|blogposting|webpage", k, re.I) for k in kinds):
+                        return node
+                    below.append(node.get("@graph"))
+            level = below
+    return {}
+
+
+def names_of(author) -> str | None:
+    """Authors of a JSON-LD object: a name, an object with a name, or a list of them."""
+    several = author if isinstance(author, list) else [author]
+    names = [a if isinstance(a, str) else a.get("name") if isinstance(a, dict) else None for a in several]
+    return ", ".join(n for n in names if isinstance(n, str) and n) or None
+
+
+def instant(value, now: datetime | None = None) -> str | None:
+    """A date or time as ISO text in UTC; null if it does not parse or lies more than a day ahead of ``now``."""
+    if not isinstance(value, str) or not value.strip():
+        return None
+    try:
+        found = datetime.fromisoformat(value.strip())
+    except ValueError:
+        try:
+            found = parsedate_to_datetime(value.strip())
+        except (TypeError, ValueError):
+            return None
+    found = found.replace(tzinfo=found.tzinfo or timezone.utc).astimezone(timezone.utc)
+    if now is not None and found > now + timedelta(days=1):
+        return None
+    return found.strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def language_tag(*values) -> str | None:
+    """The primary tag, lower case, of the first value if that has two or three letters."""
+    value = next((v for v in values if isinstance(v, str) and v), "")
+    tag = re.split("[-_]", value.lower())[0]
+    return tag if re.fullmatch("[a-z]{2,3}", tag) else None
+
+
+def extract(html: str, now: datetime | None = None) -> dict:
+    """Metadata, text (Markdown-like), links and block hashes of a page.
+
+    The article is the first of main, article and role=main that has ``LEAST_MAIN`` characters, else the container with
+    the most characters outside links.
+    """
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    nodes = list(_walk(tree.root))
+    flat = _Flat(tree.root)
+    nodes = flat.nodes
     first = lambda tag: next((n for n in nodes if n.tag == tag), None)
-    meta = {(n.attrs.get("name") or n.attrs.get("property", "")).lower(): n.attrs.get("content", "") for n in reversed(nodes) if n.tag == "meta"}
-    title = first("title")
-    for node in nodes:  # a script in the head is not text either
-        node.kids = [k for k in node.kids if isinstance(k, str) or k.tag not in ("script", "style")]
-    candidates = [n for n in nodes if n.tag in ("main", "article")]
-    best = next((t for t in map(_plain, candidates) if len(t) >= LEAST_MAIN), None)
+    meta: dict[str, str] = {}
+    for n in nodes:
+        name = n.tag == "meta" and (n.attrs.get("property") or n.attrs.get("name") or n.attrs.get("itemprop") or "").lower()
+        if name and n.attrs.get("content"):
+            meta.setdefault(name, n.attrs["content"])
+    data = article_data([_raw(n) for n in nodes if n.tag == "script" and n.attrs.get("type", "").lower() == "application/ld+json"])
+    told = [n for tag in ("main", "article") for n in nodes if n.tag == tag] + [n for n in nodes if n.attrs.get("role") == "main"]
+    best = next((n for n in told if flat.length(n) >= LEAST_MAIN), None)
     if best is None:
-        scored = []
-        for n in nodes:
-            if n.tag in ("div", "section", "body", "main", "article"):
-                body = _plain(n)
-                anchors = sum(len(_plain(a)) for a in _walk(n) if a.tag == "a")
-                scored.append((len(body) - 3 * anchors + (0 if n.tag == "body" else 1), body))
-        best = max(scored, default=(0, _plain(tree.root)))[1]
-    links = [{"href": n.attrs["href"], "rel": n.attrs.get("rel")} for n in nodes if n.tag == "a" and n.attrs.get("href")]
-    html_node, canonical = first("html"), next((n.attrs.get("href") for n in nodes if n.tag == "link" and n.attrs.get("rel") == "canonical"), None)
+        # Of equal containers the inner one, which comes last in order, is the article.
+        containers = [(flat.prose(n), k) for k, n in enumerate(nodes) if n.tag in CONTAINERS and id(n) in flat.ranges]
+        best = nodes[max(containers)[1]] if containers else tree.root
+    text = flat.text(best)
+    html_node, title = first("html"), first("title")
+    canonical = next((n.attrs.get("href") for n in nodes if n.tag == "link" and "canonical" in n.attrs.get("rel", "").lower().split()), None)
+    clean = lambda *values: next((v for v in (" ".join(x.split()) for x in values if isinstance(x, str)) if v), None)
     return {
-        "title": _plain(title) if title else meta.get("og:title") or None,
-        "description": meta.get("description") or meta.get("og:description") or None,
-        "lang": (html_node.attrs.get("lang") if html_node else None) or None,
-        "canonical": canonical,
+        "title": clean(data.get("headline"), meta.get("og:title"), _own_text(title) if title else None),
+        "description": clean(meta.get("description"), meta.get("og:description"), data.get("description")),
+        "lang": language_tag(html_node.attrs.get("lang") if html_node else None, meta.get("og:locale"), data.get("inLanguage")),
+        "canonical": canonical or None,
+        "author": clean(names_of(data.get("author")), meta.get("author"), meta.get("article:author")),
+        "published": instant(data.get("datePublished") or meta.get("article:published_time") or meta.get("date"), now),
+        "modified": instant(data.get("dateModified") or meta.get("article:modified_time"), now),
+        "image": meta.get("og:image"),
         "robots": meta.get("robots") or None,
-        "text": best,
-        "links": links,
-        "blocks": [hashlib.sha1(re.sub(r"\s+", " ", b).strip().lower().encode()).hexdigest() for b in best.split("\n") if b.strip()],
+        "text": text,
+        "links": [{"href": n.attrs["href"], "rel": n.attrs.get("rel")} for n in nodes if n.tag == "a" and n.attrs.get("href")],
+        "blocks": [block_hash(b) for b in text.split("\n")],
     }
 
 
+def _raw(node: _Node) -> str:
+    return "".join(k for k in node.kids if isinstance(k, str))
+
+
+def block_key(block: str) -> str:
+    """A block without heading and list marks, case and spacing: what makes two blocks the same."""
+    return " ".join(re.sub(r"^\s*(?:#{1,6}|-)\s+", "", block).lower().split())
+
+
+def block_hash(block: str) -> str:
+    return hashlib.sha1(block_key(block).encode()).hexdigest()
+
+
+def without_boilerplate(blocks: list[str], known: set[str], title: str | None = None) -> list[str]:
+    """Blocks whose hash is not ``known``; a first-level heading and the page's own title, unless in a list, always stay."""
+    own = block_key(title or "")
+    stays = lambda b: b.startswith("# ") or (own != "" and not b.lstrip().startswith("- ") and block_key(b) == own)
+    return [b for b in blocks if stays(b) or block_hash(b) not in known]
+
+
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, title, description, lang, text, n_links, n_blocks of pages (page_id, html)."""
+    """page_id, title, description, author, lang, published, modified, text, n_links, n_blocks of pages (page_id, html)."""
 
     def parse(batches):
         for batch in batches:
@@ -127,13 +267,13 @@ def extracted(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "page_id": batch["page_id"],
-                    **{k: [r[k] for r in rows] for k in ("title", "description", "lang", "text")},
+                    **{k: [r[k] for r in rows] for k in ("title", "description", "author", "lang", "published", "modified", "text")},
                     "n_links": [len(r["links"]) for r in rows],
                     "n_blocks": [len(r["blocks"]) for r in rows],
                 }
             )
 
-    schema = "page_id bigint, title string, description string, lang string, text string, n_links int, n_blocks int"
+    schema = "page_id bigint, title string, description string, author string, lang string, published string, modified string, text string, n_links int, n_blocks int"
     return pages.select("page_id", "html").mapInPandas(parse, schema)
 
 
@@ -167,21 +307,25 @@ def robots_groups(text: str) -> tuple[list[dict], list[str]]:
     return groups, sitemaps
 
 
-def robots_allows(text: str, agent: str, path: str) -> bool:
-    """Whether ``agent`` may fetch ``path``: most specific group, longest rule, allow on ties."""
+def robots_rules(text: str, agent: str):
+    """The test whether ``agent`` may fetch a path, the file parsed once: most specific group, longest rule, allow on ties."""
     groups, _ = robots_groups(text)
     named = [(len(a), -k) for k, g in enumerate(groups) for a in g["agents"] if a != "*" and a in agent.lower()]
     star = [-k for k, g in enumerate(groups) if "*" in g["agents"]]
     if not named and not star:
-        return True
+        return lambda path: True
     group = groups[-max(named)[1]] if named else groups[-max(star)]
-    won = (-1, True)
+    rules = []
     for allow, rule in group["rules"]:
         end = "$" if rule.endswith("$") else ""
         pattern = ".*".join(map(re.escape, (rule[:-1] if end else rule).split("*"))) + end
-        if re.match(pattern, path or "/"):
-            won = max(won, (len(rule), allow))
-    return won[1]
+        rules.append((len(rule), allow, re.compile(pattern)))
+    return lambda path: max([(-1, True), *((n, allow) for n, allow, pattern in rules if pattern.match(path or "/"))])[1]
+
+
+def robots_allows(text: str, agent: str, path: str) -> bool:
+    """Whether ``agent`` may fetch ``path``."""
+    return robots_rules(text, agent)(path)
 
 
 def robots_directives(value: str) -> dict:
