@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,15 @@ INTERROGATIVES = {
 #: (lexical, semantic) fusion weights by intent (fixed values).
 FUSION_WEIGHTS = {"conversational": (0.6, 1.4), "navigational": (1.4, 0.6)}
 TOKENS_PER_WORD = 1.35
+#: Endings that stemming drops from a word, by dictionary; stand-ins for the stemmers of a full-text engine.  Other languages are not stemmed.
+ENDINGS = {
+    "en": "ings|ing|edly|ed|ly|es|s",
+    "fr": "ements|ement|ions|ion|es|e|s",
+    "es": "amente|mente|os|as|es|o|a|s",
+    "de": "ungen|ung|en|er|em|es|e",
+    "ro": "urilor|ului|ilor|uri|ul|ii|le",
+}
+LEAST_STEM = 3
 
 
 def unaccent(text: Column) -> Column:
@@ -74,12 +85,58 @@ def detect_language(norm: Column, hint: Column | None = None) -> Column:
     by_script = F.when(F.lit(False), "")
     for pattern, lang in SCRIPTS:
         by_script = by_script.when(norm.rlike(pattern), lang)
-    by_words = F.when(most == 0, F.coalesce(hint if hint is not None else F.lit(None), F.lit("en")))
+    by_words = F.when(most == 0, F.coalesce(hint if hint is not None else F.lit(None).cast("string"), F.lit("en")))
     for lang, n in votes.items():
         by_words = by_words.when(n == most, lang)
     return F.coalesce(by_script, by_words)
 
 
+def dictionary(lang: Column) -> Column:
+    """The dictionary that a language tag's primary part names, else ``simple``."""
+    tag = F.substring_index(F.lower(F.coalesce(lang, F.lit(""))), "-", 1)
+    return F.when(tag.isin(*ENDINGS), tag).otherwise("simple")
+
+
+def stemmed(parts: Column, lang: Column) -> Column:
+    """Words without the ending that the language's dictionary drops; at least ``LEAST_STEM`` letters stay."""
+    out, name = parts, dictionary(lang)
+    for code, endings in ENDINGS.items():
+        out = F.when(name == code, F.transform(parts, _dropping(endings))).otherwise(out)
+    return out
+
+
+def _dropping(endings: str):
+    return lambda w: F.regexp_replace(w, f"^(.{{{LEAST_STEM},}}?)({endings})$", "$1")
+
+
+STOPS = sorted({w for stops in STOPWORDS.values() for w in stops.split()})
+
+
+def lexemes(norm: Column, lang: Column) -> Column:
+    """Distinct stems of the words that are no stopword of any language."""
+    kept = F.array_except(words(norm), F.array(*map(F.lit, STOPS)))
+    return F.array_distinct(stemmed(kept, lang))
+
+
+def intent(norm: Column, lang: Column, scripture: Column, navigational: Column, entity: Column) -> Column:
+    """scripture, navigational, entity, conversational or topical: the first that holds; the flags come from the lookups."""
+    return (
+        F.when(scripture, "scripture")
+        .when(navigational, "navigational")
+        .when(entity, "entity")
+        .when(conversational(norm, lang), "conversational")
+        .otherwise("topical")
+    )
+
+
+def fusion_weight(intent_: Column, arm: int) -> Column:
+    """Weight of the lexical (0) or semantic (1) arm for an intent."""
+    out = F.lit(1.0)
+    for name, weights in FUSION_WEIGHTS.items():
+        out = F.when(intent_ == name, weights[arm]).otherwise(out)
+    return out
+
+
 def conversational(norm: Column, lang: Column) -> Column:
     """At least three words, opening with an interrogative of the language (English where it has none)."""
     parts = words(norm)
@@ -109,38 +166,48 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(0.0)
 
 
+#: Markdown to plain text, step by step: pattern (without look-around, so that RE2 takes it too) and what stands in its place.
+MARKDOWN = [
+    ("\\A---\\r?\\n(?s:.*?)\\r?\\n---\\r?\\n", ""),  # front matter that is left
+    ("(?s:```.*?```|~~~.*?~~~)", " "),
+    ("(?m)^[ \\t]{0,3}>[ \\t]?", ""),
+    ("!\\[[^\\]]*\\]\\([^)]*\\)", " "),  # images go, their descriptions with them
+    ("\\[([^\\]]*)\\]\\([^)]*\\)", "$1"),
+    ("(?m)^[ \\t]{0,3}#{1,6}[ \\t]+", ""),
+    ("(?m)^[ \\t]{0,3}([-*_][ \\t]*){3,}$", " "),
+    ("(?m)^[ \\t]{0,3}([*+-]|[0-9]+\\.)[ \\t]+", ""),
+    ("\\*{1,3}([^*\\n]+)\\*{1,3}", "$1"),
+    ("_{1,3}([^_\\n]+)_{1,3}", "$1"),
+    ("`([^`]*)`", "$1"),
+    ("<[^>]+>", " "),
+    ("\\|", " "),
+    ("[ \\t]+", " "),
+    ("\\n{3,}", "\n\n"),
+]
+
+
 def stripped_markdown(text: Column) -> Column:
-    """Plain text of Markdown: code, images, links, headings, quotes, lists, emphasis, tables, tags."""
-    steps = [
-        ("(?s)```.*?```|~~~.*?~~~", " "),
-        ("`([^`]*)`", "$1"),
-        ("!\\[([^\\]]*)\\]\\([^)]*\\)", "$1"),
-        ("\\[([^\\]]+)\\]\\([^)]*\\)", "$1"),
-        ("\\[([^\\]]+)\\]\\[[^\\]]*\\]", "$1"),
-        ("(?m)^\\s{0,3}#{1,6}\\s+", ""),
-        ("(?m)\\s+#+\\s*$", ""),
-        ("(?m)^\\s{0,3}>\\s?", ""),
-        ("(?m)^\\s*[-*+]\\s+", ""),
-        ("(?m)^\\s*\\d+[.)]\\s+", ""),
-        ("(?m)^\\s*([-*_]\\s*){3,}$", ""),
-        ("(\\*\\*|__)(.+?)\\1", "$2"),
-        ("(\\*|_)(.+?)\\1", "$2"),
-        ("~~(.+?)~~", "$1"),
-        ("(?m)^\\s*\\|?[\\s:|-]*-[\\s:|-]*\\|?\\s*$", ""),
-        ("<[^>]+>", " "),
-        ("[ \\t]+", " "),
-        ("\\n{3,}", "\n\n"),
-    ]
+    """Plain text of Markdown: front matter, code, quotes, images, links, headings, lists, emphasis, tags and table pipes."""
     out = F.coalesce(text, F.lit(""))
-    for pattern, to in steps:
+    for pattern, to in MARKDOWN:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return F.regexp_replace(out, "^[ \\n]+|[ \\n]+$", "")
+
+
+_COMPILED = [(re.compile(pattern), to.replace("$", "\\")) for pattern, to in MARKDOWN]
+
+
+def plain(markdown: str) -> str:
+    """``stripped_markdown`` of one string."""
+    for pattern, to in _COMPILED:
+        markdown = pattern.sub(to, markdown)
+    return markdown.strip(" \n")
 
 
 def snippet(text: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut after the last sentence end in them if there is one, else at a word with an ellipsis."""
     head = F.substring(text, 1, limit)
-    sentence = F.regexp_extract(head, "(?s)^(.*[.!?])(?=\\s|$)", 1)
+    sentence = F.regexp_extract(head, "(?s)^(.*[.!?])(?:\\s.*)?$", 1)
     word = F.concat(F.regexp_replace(head, "\\s+\\S*$", ""), F.lit("…"))
     return F.when(F.length(text) <= limit, text).when(sentence != "", sentence).otherwise(word)
 

@@ -112,9 +112,13 @@ def all_searches(spark, d):
 
 @register("latency_p95", """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1""")
 def latency_p95(spark, d):
-    # Exact ranks by a window per type would gather a type in one task; percentile keeps a count per distinct value, combined before the shuffle.
-    e = S.table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return G.quantiles(S.table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+
+
+@register("latency_by_cache", """SELECT event_type, event_id % 2 = 0 AS cached, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1, 2""")
+def latency_by_cache(spark, d):
+    e = S.table(spark, d, "events").withColumn("cached", F.col("event_id") % 2 == 0)
+    return G.quantiles(e, ["event_type", "cached"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @register("ratios", f"""WITH {S.QUERY_LOG} SELECT round(avg(CASE WHEN zone_a = 0 THEN 1.0 ELSE 0 END), 6) AS empty_a, round(avg(CASE WHEN zone_b = 0 THEN 1.0 ELSE 0 END), 6) AS empty_b FROM query_log""")
@@ -136,13 +140,6 @@ def nested_terms(spark, d):
     return c.groupBy("lang").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("n") >= 2, F.col("source")))), ",").alias("sources"))
 
 
-@register("volume_by_intent", f"""WITH {S.QUERY_LOG}, g AS (SELECT *, CASE WHEN length(query) > 45 THEN 'long' ELSE 'short' END AS intent FROM query_log)
-  SELECT intent, count(*) AS n, count(*) FILTER (zone_a + zone_b = 0) AS empty FROM g GROUP BY 1""")
-def volume_by_intent(spark, d):
-    g = S.query_log(spark, d).withColumn("intent", F.when(F.length("query") > 45, "long").otherwise("short"))
-    return g.groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("zone_a") + F.col("zone_b") == 0).alias("empty"))
-
-
 @register("top_queries", f"""WITH {S.IMPRESSIONS} SELECT query, count(*) AS n FROM impressions GROUP BY 1 ORDER BY n DESC, query LIMIT 30""")
 def top_queries(spark, d):
     return S.impressions(spark, d).groupBy("query").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "query").limit(30)

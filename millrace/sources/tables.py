@@ -77,7 +77,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "event_id",
         F.get_json_object("props", "$.k").alias("query"),
-        (F.col("event_id") % 50).alias("page_id"),
+        (F.col("event_id") % 5).alias("page_id"),
         F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("zone"),
         (F.col("event_id") % 7 + 1).cast("int").alias("position"),
         (F.col("event_type") == "click").alias("clicked"),
@@ -88,18 +88,18 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 IMPRESSIONS = """impressions AS (
-  SELECT event_id, json_extract_string(props, '$.k') AS query, event_id % 50 AS page_id,
+  SELECT event_id, json_extract_string(props, '$.k') AS query, event_id % 5 AS page_id,
          CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS zone, CAST(event_id % 7 + 1 AS INT) AS position,
          event_type = 'click' AS clicked, CASE WHEN user_id % 3 <> 0 THEN user_id END AS user_id, value AS latency, ts
   FROM events WHERE event_type IN ('view', 'click'))"""
 
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per user turn: query_id, query (first eight words), zone_a, zone_b (result counts), session."""
+    """One row per user turn: query_id, query (the whole turn), zone_a, zone_b (result counts), session."""
     c = table(spark, sf_dir, "conversations").filter("role = 'user'")
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-        F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 8), " ").alias("query"),
+        F.col("text").alias("query"),
         (F.col("conv_id") % 3).cast("int").alias("zone_a"),
         (F.col("conv_id") % 5).cast("int").alias("zone_b"),
         F.col("conv_id").alias("session"),
@@ -107,6 +107,6 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY_LOG = """query_log AS (
-  SELECT conv_id * 1000 + turn AS query_id, array_to_string(regexp_split_to_array(text, '[ \\n]+')[1:8], ' ') AS query,
+  SELECT conv_id * 1000 + turn AS query_id, text AS query,
          CAST(conv_id % 3 AS INT) AS zone_a, CAST(conv_id % 5 AS INT) AS zone_b, conv_id AS session
   FROM conversations WHERE role = 'user')"""
