@@ -41,9 +41,10 @@ def first_follow_up(first: DataFrame, then: DataFrame, keys: list[str], ts: str,
     span = F.expr(f"INTERVAL {within}")
     a = first.withColumn("__then", F.lit(None).cast(then.schema[ts].dataType))
     b = then.select(*(F.lit(None).cast(first.schema[c].dataType).alias(c) if c not in (*keys, ts) else F.col(c) for c in first.columns)).withColumn("__then", F.col(ts))
-    w = Window.partitionBy(*keys).orderBy(F.col(ts).asc(), F.col("__then").isNotNull().asc()).rowsBetween(0, Window.unboundedFollowing)
+    # From the end on, so that the running value is carried along row by row.
+    w = Window.partitionBy(*keys).orderBy(F.col(ts).desc(), F.col("__own").asc()).rowsBetween(Window.unboundedPreceding, 0)
     both = a.withColumn("__own", F.lit(True)).unionByName(b.withColumn("__own", F.lit(False)))
-    found = both.withColumn("__next", F.first("__then", ignorenulls=True).over(w)).filter("__own")
+    found = both.withColumn("__next", F.last("__then", ignorenulls=True).over(w)).filter("__own")
     return found.withColumn("at", F.when(F.col("__next") <= F.col(ts) + span, F.col("__next"))).drop("__then", "__next", "__own")
 
 

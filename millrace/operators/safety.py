@@ -16,8 +16,8 @@ STRIKES = 5
 def blocked_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """host, rule, severity: host rules (any parent domain) and suffix rules that hit; an allow rule (severity 0) clears a host.
 
-    ``rules``: pattern, match_type, severity.  Host rules are millions and join on exploded parents; suffix rules
-    are hand-written and few.
+    ``rules``: pattern, match_type, severity.  Rules are millions and join by equality: host rules with the parents of a host,
+    suffix rules with every ending of it.
     """
     names = hosts.select("host").distinct()
     allowed = rules.filter("match_type = 'host' AND severity = 0").select(F.lower("pattern").alias("host"))
@@ -25,7 +25,8 @@ def blocked_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     by_host = rules.filter("match_type = 'host' AND severity > 0").select(F.lower("pattern").alias("rule"), "severity")
     hits = judged.select("host", F.explode(U.host_candidates(F.col("host"))).alias("rule")).join(by_host, "rule").select("host", "rule", "severity")
     suffix = rules.filter("match_type = 'suffix' AND severity > 0").select(F.lower("pattern").alias("rule"), "severity")
-    return hits.unionByName(judged.join(suffix, F.col("host").endswith(F.col("rule"))).select("host", "rule", "severity"))
+    endings = F.transform(F.sequence(F.lit(1), F.length("host")), lambda i: F.substring("host", i, F.length("host")))
+    return hits.unionByName(judged.filter("host <> ''").select("host", F.explode(endings).alias("rule")).join(suffix, "rule").select("host", "rule", "severity"))
 
 
 def keyword_score(text: Column, rules: list[tuple[str, int]]) -> Column:

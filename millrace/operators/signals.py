@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.shared import ranged
+
 #: Probability that a position is looked at, by zone (fixed values, seeded until measured).
 EXAMINED = {
     "A": [1.0, 0.68, 0.5, 0.39, 0.31],
@@ -70,6 +72,18 @@ def zone_ctr(impressions: DataFrame, least_seen: int = 500, least_clicks: int =
     )
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """``by`` and the exact quantiles ``wanted`` of ``value``: the least value that has at least that share of the group at or below it.
+
+    Values are counted, range-sorted and their counts added up, so a large group is spread over all tasks.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    summed = ranged(counts, by, [F.col(value)], {"upto": F.col("n")})
+    total = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
+    met = summed.join(total, by)
+    return met.groupBy(*by).agg(*(F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("__total")), F.col(value))).alias(name) for name, q in wanted.items()))
+
+
 def without_bursts(impressions: DataFrame, least: int = 20) -> DataFrame:
     """Impressions but the anonymous ones of a query and hour in which anonymous traffic reaches ``least``."""
     hour = F.date_trunc("hour", "ts")

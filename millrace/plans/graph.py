@@ -10,8 +10,9 @@ from millrace.functions import urls as U
 from millrace.operators import evaluation as E
 from millrace.operators import identity as I
 from millrace.operators import safety as X
+from millrace.operators.shared import written
 from millrace.plans.registry import register
-from millrace.plans.search import NORM, SEMANTIC, WORDS, semantic
+from millrace.plans.search import SEMANTIC, WORDS, ZONED, semantic
 from millrace.sources import tables as S
 
 
@@ -28,8 +29,10 @@ def exact_dedupe(spark, d):
     return I.exact_duplicates(p, "digest", ["owned", "first_seen"]).select("page_id", "duplicate_of")
 
 
+#: Documents, and a tenth of them crawled again with a line put under them.
+_CRAWLED = "crawled AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, text || ' Read more.' FROM documents WHERE doc_id % 10 = 0)"
 _SIM_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
-_SIMHASH = f"""w AS (SELECT doc_id, {_SIM_WORDS} AS w FROM documents),
+_SIMHASH = f"""{_CRAWLED}, w AS (SELECT doc_id, {_SIM_WORDS} AS w FROM crawled),
   s AS (SELECT doc_id, array_to_string(w[i:i+3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)),
   g AS (SELECT doc_id, s, least(count(*), 3) AS n, CAST('0x' || substr(sha256(s), 1, 16) AS UBIGINT) AS h FROM s GROUP BY doc_id, s),
   b AS (SELECT doc_id, bit, sum(CASE WHEN (h >> bit) & 1 = 1 THEN n ELSE -n END) AS v FROM g, (SELECT CAST(unnest(range(64)) AS UBIGINT) AS bit) GROUP BY doc_id, bit),
@@ -37,18 +40,38 @@ _SIMHASH = f"""w AS (SELECT doc_id, {_SIM_WORDS} AS w FROM documents),
   f AS (SELECT doc_id, CAST(CASE WHEN u >= 9223372036854775808::HUGEINT THEN u - 18446744073709551616::HUGEINT ELSE u END AS BIGINT) AS simhash FROM sim)"""
 
 
+def _crawled(spark, d):
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    again = docs.filter("doc_id % 10 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.concat("text", F.lit(" Read more.")).alias("text"))
+    return docs.unionByName(again)
+
+
 def _fingerprints(spark, d):
-    return I.simhashes(S.table(spark, d, "documents"), "doc_id", F.col("text"))
+    return I.simhashes(_crawled(spark, d), "doc_id", F.col("text"))
 
 
-@register("simhash", f"WITH {_SIMHASH} SELECT doc_id, simhash FROM f")
+@register("simhash", f"WITH {_SIMHASH} SELECT doc_id, coalesce(simhash, 0) AS simhash FROM crawled LEFT JOIN f USING (doc_id)")
 def simhash(spark, d):
     return _fingerprints(spark, d)
 
 
-@register("near_dup_pairs", f"WITH {_SIMHASH}, u AS (SELECT DISTINCT simhash FROM f) SELECT x.simhash AS a, y.simhash AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS INT) AS distance FROM u x JOIN u y ON x.simhash < y.simhash AND bit_count(xor(x.simhash, y.simhash)) <= 3")
+_PAIRS = f"{_SIMHASH}, u AS (SELECT DISTINCT coalesce(simhash, 0) AS simhash FROM crawled LEFT JOIN f USING (doc_id)), pairs AS (SELECT x.simhash AS a, y.simhash AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS INT) AS distance FROM u x JOIN u y ON x.simhash < y.simhash AND bit_count(xor(x.simhash, y.simhash)) <= 3)"
+
+
+@register("near_dup_pairs", f"WITH {_PAIRS} SELECT * FROM pairs")
 def near_dup_pairs(spark, d):
-    return I.near_pairs(_fingerprints(spark, d))
+    return I.near_pairs(written(_fingerprints(spark, d), "simhashes"))
+
+
+@register("near_dup_resolve", f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs UNION SELECT simhash, simhash FROM u),
+  reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), heads AS (SELECT a AS simhash, min(b) AS grp FROM reach GROUP BY 1),
+  m AS (SELECT doc_id, grp, min(doc_id) OVER (PARTITION BY grp) AS first FROM crawled LEFT JOIN f USING (doc_id) JOIN heads ON heads.simhash = coalesce(f.simhash, 0))
+  SELECT doc_id AS page_id, CASE WHEN first <> doc_id THEN first END AS duplicate_of FROM m""")
+def near_dup_resolve(spark, d):
+    """Each page with the page that stands for its component of near copies."""
+    prints = written(_fingerprints(spark, d), "simhashes")
+    pairs = written(I.near_pairs(prints), "near-pairs")
+    return I.resolved(prints.select(F.col("doc_id").alias("page_id"), "simhash"), pairs, [])
 
 
 @register("canonical_pick", f"""WITH {S.PAGES} SELECT title, page_id AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END,
@@ -62,7 +85,7 @@ _BLOCKS = "blocks AS (SELECT DISTINCT doc_id AS page_id, source AS host, unnest(
 
 
 def _blocks(spark, d):
-    return S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("host"), F.explode(F.split("text", "\n")).alias("block")).distinct()
+    return S.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("host"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("block"))
 
 
 @register("block_boilerplate", f"WITH {_BLOCKS} SELECT host, block, count(DISTINCT page_id) AS pages FROM blocks GROUP BY 1, 2 HAVING count(DISTINCT page_id) >= 3")
@@ -163,6 +186,7 @@ def url_normal(spark, d):
 
 
 @register("admission", f"""SELECT page_id, CASE WHEN {_HOST} <> 'example.com' AND NOT ends_with({_HOST}, '.example.com') THEN 'off-domain' WHEN page_id % 9 > 6 THEN 'too deep'
+  WHEN regexp_matches(url, '/(wp-admin|cart|login|feed|print|amp)(/|$)') THEN 'crawler trap path'
   WHEN regexp_matches(url, '(?i)[?&](sessionid|phpsessid|jsessionid|sid|replytocom|share|print|utm_|fbclid|gclid)') THEN 'trap parameter' END AS reason FROM pages""")
 def admission(spark, d):
     reason = U.refusal(F.col("url"), F.lit("example.com"), F.col("page_id") % 9, F.lit(6))
@@ -206,39 +230,46 @@ def bridging(spark, d):
     return S.table(spark, d, "documents").groupBy("lang").agg(F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b"), F.count_if(a & b).alias("both"), F.count_if(a | b).alias("either"))
 
 
-@register("edit_distance", """SELECT a.term AS a, b.term AS b, CAST(levenshtein(a.term, b.term) AS INT) AS distance FROM (SELECT DISTINCT regexp_replace(lower(substr(text, 1, 6)), '[^a-z ]', '', 'g') AS term FROM benchmark) a
-  JOIN (SELECT DISTINCT regexp_replace(lower(substr(text, 1, 6)), '[^a-z ]', '', 'g') AS term FROM benchmark) b ON substr(a.term, 1, 1) = substr(b.term, 1, 1) AND a.term < b.term AND levenshtein(a.term, b.term) <= 3""")
+def _skeleton_sql(term: str) -> str:
+    """DuckDB: ``functions.text.skeleton``; doubled letters go letter by letter, as RE2 has no back-references."""
+    out = f"regexp_replace(substr({term}, 2), '[aeiouy]', '', 'g')"
+    for c in "bcdfghjklmnpqrstvwxz":
+        out = f"regexp_replace({out}, '{c}{c}+', '{c}', 'g')"
+    return f"substr({term}, 1, 1) || {out}"
+
+
+_TERM_LIST = f"""t AS (SELECT term, {_skeleton_sql('term')} AS k FROM (SELECT DISTINCT unnest({WORDS.format('text')}) AS term FROM benchmark) WHERE regexp_full_match(term, '[a-z]{{4,}}'))"""
+
+
+@register("edit_distance", f"""WITH {_TERM_LIST} SELECT x.term AS a, y.term AS b, CAST(levenshtein(x.term, y.term) AS INT) AS distance FROM t x JOIN t y USING (k) WHERE x.term < y.term AND levenshtein(x.term, y.term) <= 3""")
 def edit_distance(spark, d):
-    t = S.table(spark, d, "benchmark").select(F.regexp_replace(F.lower(F.substring("text", 1, 6)), "[^a-z ]", "").alias("t")).distinct().withColumn("k", F.substring("t", 1, 1))
+    """Words that may be spellings of one another: of one skeleton, at most three edits apart."""
+    words = S.table(spark, d, "benchmark").select(F.explode(T.words(T.normalized(F.col("text")))).alias("t")).distinct().filter(F.col("t").rlike("^[a-z]{4,}$"))
+    t = words.withColumn("k", T.skeleton(F.col("t")))
     pairs = t.withColumnRenamed("t", "a").join(t.withColumnRenamed("t", "b"), "k").filter("a < b")
     return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance")).filter("distance <= 3")
 
 
-_RANKED = f"""WITH {SEMANTIC}, gold AS (SELECT vec_id AS query_id, label FROM embeddings WHERE vec_id < 20),
-  r AS (SELECT s.query_id, g.label, min(s.sem_rank) AS rank FROM sem s JOIN gold g USING (query_id) JOIN embeddings e ON e.vec_id = s.page_id WHERE e.label = g.label AND e.vec_id <> s.query_id GROUP BY 1, 2)"""
+_RANKED = f"""WITH {ZONED}, {SEMANTIC}, gold AS (SELECT vec_id // 50 AS query_id, vec_id, label FROM embeddings WHERE vec_id % 50 = 0),
+  r AS (SELECT s.query_id, min(s.sem_rank) AS rank FROM sem s JOIN gold g USING (query_id) JOIN embeddings e ON e.vec_id = s.page_id WHERE e.label = g.label AND e.vec_id <> g.vec_id GROUP BY 1)"""
 
 
-def _ranks(spark, d, whole=False):
+def _ranks(spark, d):
     e = S.table(spark, d, "embeddings")
-    gold = e.filter("vec_id % 50 = 0" if whole else "vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
-    hits = semantic(spark, d, whole).join(gold, "query_id").join(e.select(F.col("vec_id").alias("page_id"), F.col("label").alias("found")), "page_id")
-    ranks = hits.filter("found = label AND page_id <> query_id").groupBy("query_id").agg(F.min("sem_rank").cast("bigint").alias("rank"))
+    gold = e.filter("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("bigint").alias("query_id"), F.col("vec_id").alias("own"), "label")
+    hits = semantic(spark, d).join(gold, "query_id").join(e.select(F.col("vec_id").alias("page_id"), F.col("label").alias("found")), "page_id")
+    ranks = hits.filter("found = label AND page_id <> own").groupBy("query_id").agg(F.min("sem_rank").cast("bigint").alias("rank"))
     return gold.join(ranks, "query_id", "left")
 
 
 @register("recall_metrics", _RANKED + """, a AS (SELECT g.label, r.rank FROM gold g LEFT JOIN r USING (query_id))
   SELECT label, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS recall_3,
-  round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM a GROUP BY label""")
+  round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr,
+  quantile_disc(rank, 0.5) AS median_rank FROM a GROUP BY label""")
 def recall_metrics(spark, d):
     return E.recall(_ranks(spark, d), "label")
 
 
-@register("recall_metrics_all")
-def recall_metrics_all(spark, d):
-    """``recall_metrics`` over the vectors whose id 50 divides."""
-    return E.recall(_ranks(spark, d, whole=True), "label")
-
-
 @register("threshold_curve", """WITH s AS (SELECT doc_id, quality, (doc_id % 50) / 50.0 AS score FROM labels), f AS (SELECT DISTINCT score AS floor FROM s)
   SELECT floor::DOUBLE AS floor, count(*) FILTER (quality = 1 AND score >= floor) AS kept, count(*) FILTER (quality = 1 AND score < floor) AS lost,
   count(*) FILTER (quality = 0 AND score >= floor) AS admitted, count(*) FILTER (quality = 0 AND score < floor) AS blocked FROM f, s GROUP BY floor""")

@@ -22,9 +22,10 @@ def pricing_summary(spark, d):
     )
 
 
-@register("customers_without_orders", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@register("customers_without_orders", "SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey")
 def customers_without_orders(spark, d):
-    orders = S.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    orders = S.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return S.table(spark, d, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey")
 
 
