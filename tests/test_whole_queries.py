@@ -1,95 +1,113 @@
-"""Queries over their whole sets, against brute force on small tables."""
+"""Search operators against brute force on small tables."""
 
-import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
+from millrace.functions import text as T
+from millrace.operators import lexicon
+from millrace.operators import retrieval as R
+from millrace.plans import search as P
 
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "re") for b in ("da", "fe", "gi", "po")]
 
 
 @pytest.fixture(scope="module")
-def tables(spark, tmp_path_factory):
-    d, rng = tmp_path_factory.mktemp("whole"), random.Random(3)
+def tables(spark):
+    rng = random.Random(3)
     text = lambda n: " ".join(rng.choices(WORDS, k=n))
-    docs = [(i, f"{text(4)} common\n" + text(20 + i % 30), "en", f"src{i % 5}", 0) for i in range(60)]
-    docs += [(60, text(60) + " common rare\n" + text(5), "en", "src1", 0), (61, "rare\n" + text(5), "en", "src2", 0), (62, "alone", "en", "src3", 0)]
-    items = [(i, text(6)) for i in range(40)]
-    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)], i % 3) for i in range(200)]
-    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
-    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
-    return str(d), docs, items, vectors
-
-
-def brute_lexical(docs, items):
-    out = {}
-    for q, text in items:
-        terms = set(text.split()[:3])
-        scored = []
-        for i, body, *_ in docs:
-            tf = Counter(body.split())
-            hit = [t for t in terms if tf[t]]
-            if hit:
-                scored.append((-round(2.0 * (len(hit) == len(terms)) + 0.3 * sum(tf[t] / (tf[t] + 1.0) for t in hit) / len(terms), 9), i))
-        out |= {(q, i): k for k, (_, i) in enumerate(sorted(scored)[:100], 1)}
-    return out
-
-
-def brute_semantic(vectors):
-    m = np.array([v for _, v, _ in vectors], np.float32).astype(np.float64)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    out = {}
-    for q in range(0, len(vectors), 50):
-        order = sorted(range(len(vectors)), key=lambda i: (-round(float(m[q] @ m[i]), 9), i))[:100]
-        out |= {(q, i): k for k, i in enumerate(order, 1)}
-    return out
-
-
-def test_searches_ask_their_whole_set(spark, tables):
-    d, docs, items, vectors = tables
-    run = lambda name: entry.queries()[name](spark, d).collect()
-    lex, sem = brute_lexical(docs, items), brute_semantic(vectors)
-    assert {(r["query_id"], r["page_id"]): r["lex_rank"] for r in run("lexical_topk_all")} == lex
-    assert {(r["query_id"], r["page_id"]): r["sem_rank"] for r in run("vector_topk_all")} == sem
-    got = {(r["query_id"], r["page_id"]): r["score"] for r in run("hybrid_rrf_all")}
-    rank = lambda ranks, key: 1 / (60 + ranks.get(key, math.inf))
-    assert got.keys() == lex.keys() | sem.keys() and all(abs(v - rank(lex, k) - rank(sem, k)) < 1e-8 for k, v in got.items())
-    label = {i: c for i, _, c in vectors}
-    found = run("recall_metrics_all")
-    assert {r["label"]: r["n"] for r in found} == Counter(label[q] for q in range(0, 200, 50))
-    for name in ("cover_density", "headline"):
-        assert {r["query_id"] for r in run(name)} == {q for q, _ in lex}
-    asked = {q for q, _ in lex.keys() | sem.keys()}
-    assert {r["query_id"] for r in run("arm_guarantee_all")} == asked
-    ids = {i for i, *_ in docs}
-    assert {r["query_id"] for r in run("host_cap_all")} == {q for q, i in lex.keys() | sem.keys() if i in ids}
-
-
-def test_threads_of_frequent_tags_and_long_lines(spark, tables):
-    d, docs, *_ = tables
-    tags = {i: set(text.split("\n")[0].split(" ")) - {""} for i, text, *_ in docs}
-    want = {(i, j) for i in tags for j in sorted(j for j in tags if j != i and tags[i] & tags[j])[:3]}
-    got = [(r["seed"], r["page_id"]) for r in entry.queries()["thread_links_all"](spark, d).collect()]
-    assert sorted(got) == sorted(want) and (60, 0) in want and (61, 60) in want and 62 not in {i for i, _ in want}
-
-
-def test_normal_forms_of_whole_texts(spark, tables):
-    d, docs, *_ = tables
-    found = {r["doc_id"]: (r["normalized"], r["routable"]) for r in entry.queries()["normal_forms_all"](spark, d).collect()}
-    assert found == {i: (" ".join(text.split()),) * 2 for i, text, *_ in docs} and len(found[60][0]) > 300
-
-
-def test_reranking_sees_a_match_late_in_a_long_page(spark, tmp_path):
+    pages = [(i, "AB"[i % 2], "xx", f"{text(4)} common", f"{text(4)} common\n" + text(20 + i % 30)) for i in range(60)]
+    pages = [(i, z, lang, body.split("\n")[0], body) for i, z, lang, _, body in pages]
+    items = [(i, text(6).split()) for i in range(40)]
+    vectors = [(i % 150, "AB"[i % 150 % 2], [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    return (
+        spark.createDataFrame(pages, "page_id bigint, zone string, lang string, title string, text string"), pages,
+        spark.createDataFrame(items, "query_id bigint, terms array<string>"), items,
+        spark.createDataFrame(vectors, "page_id bigint, zone string, embedding array<float>"), vectors,
+    )
+
+
+def test_lexical_equals_brute_force(spark, tables):
+    df, pages, queries, items, *_ = tables
+    more = spark.createDataFrame([(0, 0.9, ["common", "kada"]), (1, 0.5, ["lofe"])], "query_id bigint, weight double, terms array<string>")
+    groups = {q: [(0.3, set(terms), True)] for q, terms in items}
+    for q, w, terms in [(0, 0.9, {"common", "kada"}), (1, 0.5, {"lofe"})]:
+        groups[q].append((w, terms, False))
+    want = {}
+    for q in groups:
+        for zone in "AB":
+            scored = []
+            for i, z, _, title, body in pages:
+                tf = Counter()
+                for k, w in enumerate(body.split()):
+                    tf[w] += 0.2 + (1.0 if k < len(title.split()) else 0.0)
+                score, hit = 0.0, False
+                for weight, terms, own in groups[q]:
+                    found = [t for t in terms if tf[t]]
+                    density = sum(tf[t] / (tf[t] + 1) for t in found) / len(terms)
+                    hit |= bool(found)
+                    score += weight * density + (2 + density if own and len(found) == len(terms) else 0)
+                if z == zone and hit:
+                    scored.append((-round(score, 9), i))
+            want |= {(q, zone, i): k for k, (_, i) in enumerate(sorted(scored)[:7], 1)}
+    got = {(r["query_id"], r["zone"], r["page_id"]): r["lex_rank"] for r in R.lexical(df, queries, more, limit=7).collect()}
+    assert got == want
+
+
+def test_nearest_vectors_equal_brute_force(tables, monkeypatch):
+    *_, df, vectors = tables
+    queries = df.filter("page_id % 50 = 0").dropDuplicates(["page_id"]).select(F.col("page_id").alias("query_id"), "embedding")
+    asked = {r["query_id"]: np.array(r["embedding"]) for r in queries.collect()}
+    unit = lambda v: np.asarray(v, np.float32).astype(float) / np.linalg.norm(np.asarray(v, np.float32).astype(float))
+    want = {}
+    for q, v in asked.items():
+        for zone in "AB":
+            best = {}
+            for i, z, e in vectors:
+                if z == zone:
+                    best[i] = max(best.get(i, -2), round(float(unit(v) @ unit(e)), 9))
+            want |= {(q, zone, i): k for k, i in enumerate(sorted(best, key=lambda i: (-best[i], i))[:5], 1)}
+    for most in (R.BROADCAST_QUERIES, 4):
+        monkeypatch.setattr(R, "BROADCAST_QUERIES", most)
+        got = {(r["query_id"], r["zone"], r["page_id"]): r["sem_rank"] for r in R.semantic(df.repartition(5), queries, 5).collect()}
+        assert got == want
+
+
+def test_threads_of_frequent_tags(spark, tables):
+    _, pages, *_ = tables
+    tags = {i: set(title.split()) for i, _, _, title, _ in pages}
+    rows = spark.createDataFrame([(i, list(t), i % 7) for i, t in tags.items()], "page_id bigint, tags array<string>, engagement int")
+    got = [(r["seed"], r["page_id"], r["place"]) for r in lexicon.first_overlapping(rows, "page_id", "tags", [-F.col("engagement")], most=3).collect()]
+    want = [(i, j, k) for i in tags for k, j in enumerate(sorted((j for j in tags if j != i and tags[i] & tags[j]), key=lambda j: (-(j % 7), j))[:3], 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_the_best_chunk_is_found_late_in_a_long_page(spark):
     query = "solar sails drift outward quietly"
     filler = "\n\n".join(" ".join(f"f{p}x{i}" for i in range(120)) + "." for p in range(20))
-    docs = [(0, f"# One\n\n{filler}\n\n# Two\n\n{query} again " + " ".join(f"t{i}" for i in range(100)), "src0"), (1, f"solar {filler}", "src1"), (2, f"{query} short", "src2")]
-    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(30, query)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(1000 + i, [1.0, float(i)]) for i in range(3)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    rows = {r["page_id"]: r["rerank_score"] for r in entry.queries()["rerank_stub"](spark, str(tmp_path)).collect() if r["query_id"] == 30}
-    assert rows == {0: 1.0, 1: 0.2, 2: 1.0}
+    docs = [(0, f"# One\n\n{filler}\n\n# Two\n\n{query} again " + " ".join(f"t{i}" for i in range(100))), (1, f"solar {filler}"), (2, f"{query} short")]
+    rows = spark.createDataFrame([(30, i, i + 1, query) for i in range(3)], "query_id bigint, page_id bigint, pos int, query string")
+    met = P._best_chunks(rows, spark.createDataFrame(docs, "page_id bigint, text string"))
+    body = met.withColumn("body", R.rerank_text(F.lit(None), F.lit(None), F.col("heading"), F.col("chunk")))
+    assert {r["page_id"]: r["rerank_score"] for r in R.reranked(body, R.overlap_scorer).collect()} == {0: 1.0, 1: 0.2, 2: 1.0}
+
+    def broken(queries, texts):
+        raise RuntimeError("no model")
+
+    failed = R.reranked(body, broken).collect()
+    assert all(r["degraded"] and r["rerank_score"] is None and r["reranked"] == r["pos"] for r in failed)
+
+
+def test_the_cross_gate_stands_down(spark):
+    rows = spark.createDataFrame([(1, 0.9, False), (1, 0.01, False), (2, 0.01, True), (3, None, False)], "query_id int, rerank_score double, hit boolean")
+    kept = lambda floor: sorted((r["query_id"], r["rerank_score"]) for r in R.cross_gated(rows, floor, "hit").collect())
+    assert kept(0.05) == [(1, 0.9), (2, 0.01), (3, None)] and len(kept(-1)) == 4
+
+
+def test_stems_by_dictionary(spark):
+    words = lambda lang, *w: spark.range(1).select(T.stemmed(F.array(*map(F.lit, w)), F.lit(lang)).alias("s")).first()["s"]
+    assert words("en-GB", "walking", "walked", "walks", "is") == ["walk", "walk", "walk", "is"]
+    assert words("fr", "grandes") == ["grand"] and words("he", "walks") == ["walks"]
