@@ -21,11 +21,18 @@ def applied(log: DataFrame, identity: str, ts: str, anonymise_before: Column, de
     return kept.withColumn(identity, F.when(F.col(ts) < anonymise_before, F.lit(None)).otherwise(F.col(identity)))
 
 
-def rate_limited(log: DataFrame, key: str, ts: str, seconds: int, most: int) -> DataFrame:
-    """``log`` plus refused: whether a key had more than ``most`` requests in the ``seconds`` up to and with this one."""
+def rate_limited(log: DataFrame, key: str, ts: str, seconds: int, most: int, tie: str | None = None) -> DataFrame:
+    """``log`` plus refused: whether a key had more than ``most`` requests in the ``seconds`` up to and with this one.
+
+    With ``tie`` (what orders equal times) also retry_after_s: seconds until the request ``most`` places before has left the window.
+    """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     w = Window.partitionBy(key).orderBy("__at").rangeBetween(-seconds * 1_000_000, 0)
-    return log.withColumn("__at", at).withColumn("refused", F.count(F.lit(1)).over(w) > most).drop("__at")
+    out = log.withColumn("__at", at).withColumn("refused", F.count(F.lit(1)).over(w) > most)
+    if tie is not None:
+        before = F.lag("__at", most).over(Window.partitionBy(key).orderBy("__at", tie))
+        out = out.withColumn("retry_after_s", F.when(F.col("refused"), F.ceil(seconds - (F.col("__at") - before) / 1_000_000.0).cast("bigint")))
+    return out.drop("__at")
 
 
 def nth_report(log: DataFrame, key: str, ts: str, tie: str, n: int) -> DataFrame:

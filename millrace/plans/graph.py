@@ -201,18 +201,11 @@ def adaptive_interval(spark, d):
     return S.table(spark, d, "documents").select("doc_id", hours.cast("int").alias("hours"))
 
 
-@register("frontier_enqueue", """SELECT url FROM (SELECT DISTINCT url FROM pages) p ANTI JOIN (SELECT url FROM pages WHERE page_id % 3 = 0) f USING (url) ORDER BY url LIMIT 50""")
-def frontier_enqueue(spark, d):
-    urls = S.table(spark, d, "pages")
-    fresh = urls.filter("page_id % 3 = 0").select("url")
-    return urls.select("url").distinct().join(fresh, "url", "left_anti").orderBy("url").limit(50)
-
-
-@register("ngram_df", f"""WITH w AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark), g AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) AS gram FROM w)
+@register("ngram_df", f"""WITH w AS (SELECT item_id, {WORDS.format('text')} AS w FROM benchmark), g AS (SELECT item_id, unnest(list_concat(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) AS gram FROM w)
   SELECT gram, count(*) AS n, count(DISTINCT item_id) AS df FROM g GROUP BY 1""")
 def ngram_df(spark, d):
     words = T.words(T.normalized(F.col("text")))
-    grams = S.table(spark, d, "benchmark").select("item_id", F.explode(F.concat(words, T.ngrams(words, 2))).alias("gram"))
+    grams = S.table(spark, d, "benchmark").select("item_id", F.explode(F.concat(words, T.ngrams(words, 2), T.ngrams(words, 3))).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("df"))
 
 

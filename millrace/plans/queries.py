@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from millrace.plans import content, graph, relational, search, signals  # noqa: F401
+from millrace.plans import admin, content, graph, relational, search, signals  # noqa: F401

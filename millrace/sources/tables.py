@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _number(source):
-    return F.substring(source, 4, 9).cast("int")
+    return F.substring(source, 4, 9).try_cast("int")
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
