@@ -12,8 +12,72 @@ song of solomon 8, isaiah 66, jeremiah 52, lamentations 5, ezekiel 48, daniel 12
 habakkuk 3, zephaniah 3, haggai 2, zechariah 14, malachi 4, matthew 28, mark 16, luke 24, john 21, acts 28, romans 16, 1 corinthians 16,
 2 corinthians 13, galatians 6, ephesians 6, philippians 4, colossians 4, 1 thessalonians 5, 2 thessalonians 3, 1 timothy 6, 2 timothy 4, titus 3,
 philemon 1, hebrews 13, james 5, 1 peter 5, 2 peter 3, 1 john 5, 2 john 1, 3 john 1, jude 1, revelation 22"""
-#: Names that are no prefix of a book's (fixed values).
-OTHER = {"psalm": "psalms", "song of songs": "song of solomon", "jn": "john", "mt": "matthew", "mk": "mark", "lk": "luke", "phil": "philippians", "jas": "james"}
+#: Names that are no prefix of a book's: abbreviations, Romanian and Hebrew names, book by book (fixed values).
+OTHER_NAMES = {
+    "genesis": "gn, ge, geneza, facerea, bereshit",
+    "exodus": "ex, exod, exodul, iesirea, shemot",
+    "leviticus": "lv, leviticul, vayikra",
+    "numbers": "nm, nb, numeri, bamidbar",
+    "deuteronomy": "dt, deuteronomul, devarim",
+    "joshua": "jos, iosua, yehoshua",
+    "judges": "jdg, jg, judecatorii, judecatori, shoftim",
+    "ruth": "rt, rut",
+    "1 samuel": "1 sm, 1 shmuel",
+    "2 samuel": "2 sm, 2 shmuel",
+    "1 kings": "1 kgs, 1 regi, 1 imparati, 1 melachim",
+    "2 kings": "2 kgs, 2 regi, 2 imparati, 2 melachim",
+    "1 chronicles": "1 cronici, 1 divrei hayamim",
+    "2 chronicles": "2 cronici, 2 divrei hayamim",
+    "nehemiah": "ne, neemia",
+    "esther": "est, estera",
+    "job": "jb, iov, iyov",
+    "psalms": "ps, pss, psalm, psalmul, psalmii, tehillim, tehilim",
+    "proverbs": "pr, prv, proverbe, proverbele, mishlei",
+    "ecclesiastes": "qoh, eclesiastul, kohelet",
+    "song of solomon": "song of songs, canticles, cantarea cantarilor, shir hashirim",
+    "isaiah": "is, isaia, yeshayahu",
+    "jeremiah": "jr, ieremia, yirmiyahu",
+    "lamentations": "lm, plangerile, plangeri, eicha",
+    "ezekiel": "ez, ezechiel, yechezkel",
+    "daniel": "dn",
+    "hosea": "os, osea, hoshea",
+    "joel": "jl, ioel, yoel",
+    "amos": "am",
+    "jonah": "iona, yonah",
+    "micah": "mi, mica, michah",
+    "habakkuk": "hb, habacuc",
+    "zephaniah": "zep, tefania, tzefaniah",
+    "haggai": "hg, hagai",
+    "zechariah": "zec, zaharia",
+    "malachi": "ml, maleahi, malachi",
+    "matthew": "mt, matei",
+    "mark": "mk, mr, marcu",
+    "luke": "lk, luca",
+    "john": "jn, ioan, evanghelia dupa ioan",
+    "acts": "ac, fapte, faptele apostolilor",
+    "romans": "rm, romani",
+    "1 corinthians": "1 co, 1 corinteni",
+    "2 corinthians": "2 co, 2 corinteni",
+    "galatians": "ga, galateni",
+    "ephesians": "efeseni",
+    "philippians": "phil, filipeni",
+    "colossians": "coloseni",
+    "1 thessalonians": "1 th, 1 tesaloniceni",
+    "2 thessalonians": "2 th, 2 tesaloniceni",
+    "1 timothy": "1 tm, 1 timotei",
+    "2 timothy": "2 tm, 2 timotei",
+    "titus": "tt, tit",
+    "philemon": "phm, filimon",
+    "hebrews": "hb, evrei",
+    "james": "jas, jm, iacov",
+    "1 peter": "1 pt, 1 petru",
+    "2 peter": "2 pt, 2 petru",
+    "1 john": "1 jn, 1 ioan",
+    "2 john": "2 jn, 2 ioan",
+    "3 john": "3 jn, 3 ioan",
+    "jude": "iuda",
+    "revelation": "rv, apocalipsa, apocalypse",
+}
 ORDINALS = {"first": "1", "second": "2", "third": "3", "iii": "3", "ii": "2", "i": "1"}
 SHORTEST = 3
 
@@ -28,7 +92,12 @@ def books(spark: SparkSession) -> DataFrame:
             claims.setdefault(f"{ordinal} {stem[:k]}".strip(), set()).add(n)
         claims[name] = {n}
     rows = {alias: known[min(owners) - 1] for alias, owners in claims.items() if len(owners) == 1}
-    rows |= {alias: next(b for b in known if b[1] == name) for alias, name in OTHER.items()}
+    others: dict[str, set[str]] = {}
+    for name, given in OTHER_NAMES.items():
+        for alias in given.split(", "):
+            others.setdefault(alias, set()).add(name)
+    # A name that two books are called by is refused, like a prefix that two books have.
+    rows |= {alias: next(b for b in known if b[1] in names) for alias, names in others.items() if len(names) == 1}
     return spark.createDataFrame([(a, name, n, int(chapters)) for a, (n, name, chapters) in rows.items()], "alias string, book string, number int, chapters int")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import io
 import json
 import re
+import tarfile
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,27 @@ def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("path", F.decode("content", "UTF-8").alias("raw"))
 
 
+def single_document(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """path, raw of one document below ``root``; a path that leaves it is refused, an oversized file gives no row."""
+    file = spark.read.format("binaryFile").load(safe_join(root, path)).filter(F.col("length") <= MAX_BYTES)
+    return file.select("path", F.decode("content", "UTF-8").alias("raw"))
+
+
+def to_fetch(known: DataFrame, listing: DataFrame) -> DataFrame:
+    """path, step of a remote tree (path, sha) against what is known: fetch, keep or withdraw; an empty listing withdraws nothing."""
+    old, new = known.select("path", F.col("sha").alias("__old")), listing.select("path", F.col("sha").alias("__new"))
+    step = F.when(F.col("__new").isNull(), "withdraw").when(F.col("__old").eqNullSafe(F.col("__new")), "keep").otherwise("fetch")
+    met = old.join(new, "path", "full").select("path", step.alias("step"))
+    return met if listing.limit(1).count() else met.withColumn("step", F.lit("keep"))
+
+
+def pending(migrations: DataFrame, applied: DataFrame) -> DataFrame:
+    """version, state of migrations (version, checksum): applied, changed since (which stops the run), or pending, in order."""
+    done = applied.select("version", F.col("checksum").alias("__done"))
+    state = F.when(F.col("__done").isNull(), "pending").when(F.col("__done") == F.col("checksum"), "applied").otherwise("changed")
+    return migrations.join(done, "version", "left").select("version", state.alias("state"))
+
+
 def safe_join(root: str, path: str) -> str:
     """``path`` below ``root``; refuses to leave it."""
     parts: list[str] = []
@@ -42,10 +65,24 @@ def safe_join(root: str, path: str) -> str:
     return "/".join([root.rstrip("/"), *parts])
 
 
+_KEY = "^[A-Za-z_][\\w-]*\\s*:"
+
+
+def _folded_lists(head: Column) -> Column:
+    """Front matter with the items of a list on the line of its key."""
+    return F.regexp_replace(head, "\\r?\\n[ \\t]*-[ \\t]+", ", ")
+
+
+def front_matter_errors(raw: Column) -> Column:
+    """Lines of the front matter that are neither an entry, nor blank, nor a comment."""
+    lines = F.split(_folded_lists(F.regexp_extract(raw, FRONT, 1)), "\r?\n")
+    return F.filter(lines, lambda x: (F.trim(x) != "") & ~x.rlike("^\\s*#") & ~x.rlike(_KEY))
+
+
 def front_matter(raw: Column) -> tuple[Column, Column]:
-    """Front matter (map of its flat ``key: value`` lines) and body of an article; a malformed line is left out."""
+    """Front matter (map of its ``key: value`` lines, items of a list joined by commas) and body of an article; a malformed line is left out."""
     head, body = F.regexp_extract(raw, FRONT, 1), F.regexp_extract(raw, FRONT, 2)
-    lines = F.filter(F.split(head, "\r?\n"), lambda x: x.rlike("^[A-Za-z_][\\w-]*\\s*:"))
+    lines = F.filter(F.split(_folded_lists(head), "\r?\n"), lambda x: x.rlike(_KEY))
     entry = lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))), F.regexp_replace(F.trim(F.regexp_extract(x, ":(.*)$", 1)), "^[\"']|[\"']$", ""))
     # The first of repeated keys stands.
     keyed = F.filter(F.transform(lines, entry), lambda e: F.lit(True))
@@ -61,7 +98,7 @@ def mapped_page(raw: Column) -> dict[str, Column]:
     """Columns of a page from an article, by precedence of front-matter names."""
     front, body = front_matter(raw)
     pick = lambda *names: F.coalesce(*(F.nullif(F.try_element_at(front, F.lit(n)), F.lit("")) for n in names))
-    tags = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(pick("tags", "keywords"), F.lit("")), "[\\[\\]\"']", ""), ","), lambda t: F.trim(t)), lambda t: t != "")
+    several = lambda *names: F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(pick(*names), F.lit("")), "[\\[\\]\"']", ""), ","), lambda t: F.trim(t)), lambda t: t != "")
     heading = F.nullif(F.regexp_extract(body, "(?m)^#\\s+(.+?)\\s*$", 1), F.lit(""))
     return {
         "title": F.coalesce(pick("title", "name"), heading),
@@ -69,7 +106,13 @@ def mapped_page(raw: Column) -> dict[str, Column]:
         "category": pick("category", "section"),
         "published": F.coalesce(pick("published", "created", "date"), pick("updated")).cast("date"),
         "language": F.coalesce(pick("language", "lang"), F.lit("en")),
-        "tags": tags,
+        "tags": several("tags", "keywords"),
+        "slug": pick("slug", "permalink"),
+        "image": pick("image", "cover", "og_image"),
+        "persona": pick("persona", "author"),
+        "office": pick("office", "department"),
+        "characters": several("characters", "people"),
+        "related_slugs": several("related_slugs", "related"),
         "body": body,
         "word_count": F.size(F.filter(F.split(T.stripped_markdown(body), "\\s+"), lambda w: w != "")),
         "content_hash": content_hash(body),
@@ -197,16 +240,37 @@ def bundle(spark: SparkSession, path: str) -> DataFrame:
 
 def blocklist(spark: SparkSession, path: str, source: str, kind: str) -> DataFrame:
     """source, match_type, pattern of a text list (``hosts``, ``domains`` or ``urls`` lines; gzip too)."""
+    return listed_hosts(spark.read.text(path), source, kind)
+
+
+def listed_hosts(lines: DataFrame, source: str, kind: str) -> DataFrame:
+    """Hosts named by the lines (column ``value``) of a list."""
     line = F.trim(F.regexp_replace("value", "#.*$", ""))
     pattern = {
         "hosts": F.regexp_extract(line, "^(?:0\\.0\\.0\\.0|127\\.0\\.0\\.1)\\s+(\\S+)", 1),
         "domains": F.regexp_extract(line, "^(?:\\|\\||\\*\\.)?([a-zA-Z0-9.-]+\\.[a-zA-Z]{2,})\\^?$", 1),
         "urls": F.regexp_extract(line, "^(?:https?://)?([^/\\s:]+)", 1),
     }[kind]
-    found = spark.read.text(path).select(F.lower(pattern).alias("pattern")).filter(F.col("pattern").rlike("\\."))
+    found = lines.select(F.lower(pattern).alias("pattern")).filter(F.col("pattern").rlike("\\."))
     return found.distinct().select(F.lit(source).alias("source"), F.lit("host").alias("match_type"), "pattern")
 
 
+def archived_blocklist(spark: SparkSession, path: str, member: str, source: str, kind: str) -> DataFrame:
+    """``blocklist`` of the files below ``member`` in a tar archive, gzipped or not; one archive a task, line by line."""
+
+    def read(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content)) as archive:
+                    for entry in archive:
+                        if entry.isfile() and entry.name.startswith(member):
+                            lines = archive.extractfile(entry).read().decode("utf-8", "replace").splitlines()
+                            yield pd.DataFrame({"value": lines}, dtype=object)
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "value string")
+    return listed_hosts(lines, source, kind)
+
+
 def reloaded(old: DataFrame, new: DataFrame, source: str) -> DataFrame:
     """``old`` with the rows of a source replaced; an empty load keeps what there was."""
     if not new.limit(1).count():

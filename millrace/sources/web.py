@@ -328,11 +328,26 @@ def robots_allows(text: str, agent: str, path: str) -> bool:
     return robots_rules(text, agent)(path)
 
 
-def robots_directives(value: str) -> dict:
-    words = set(re.split(r"[,\s]+", (value or "").lower()))
+def robots_directives(value: str | None, agent: str | None = None) -> dict:
+    """Directives of a robots meta tag or of X-Robots-Tag; those under a bot's name count only for that ``agent``."""
+    words, named = set(), None
+    for part in re.split(r"[,\s]+", (value or "").lower()):
+        name, colon, rest = part.partition(":")
+        if colon and name not in ("max-snippet", "max-image-preview", "max-video-preview", "unavailable_after"):
+            named, part = name, rest
+        if part and (named is None or (agent is not None and named in agent.lower())):
+            words.add(part)
     return {"noindex": bool(words & {"noindex", "none"}), "nofollow": bool(words & {"nofollow", "none"}), "noarchive": "noarchive" in words}
 
 
+def plain_page(text: str | None) -> dict:
+    """A text/plain body or the text layer of a PDF in the shape of ``extract``: the first line is the title."""
+    lines = _lines((text or "").replace("\f", "\n"))
+    first = lines.split("\n", 1)[0].lstrip("# ")
+    empty = dict.fromkeys(("description", "lang", "canonical", "author", "published", "modified", "image", "robots"))
+    return {"title": first[:200] or None, **empty, "text": lines, "links": [], "blocks": [block_hash(b) for b in lines.split("\n") if b]}
+
+
 def sitemap_entries(xml: str) -> tuple[str, list[tuple[str, str | None]]]:
     """Kind (urlset, index, rss, atom, unknown) and (url, last change) of a sitemap or feed; namespaces are ignored."""
     try:

@@ -13,6 +13,13 @@ def test_references_are_read_or_refused(spark):
         "song of songs 2": "song of solomon 2",
         "jude 5": "jude 1:5",
         "rev 22": "revelation 22",
+        "ps 23": "psalms 23",
+        "gn 1": "genesis 1",
+        "Ioan 3:16": "john 3:16",
+        "1 Corinteni 13": "1 corinthians 13",
+        "Tehillim 23:1": "psalms 23:1",
+        "Bereshit 1": "genesis 1",
+        "hb 1": None,
         "john 22": None,
         "psalm 151": None,
         "ju 3": None,

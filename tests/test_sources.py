@@ -1,4 +1,7 @@
+import io
+import tarfile
 import zlib
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ def test_robots_most_specific_group_longest_rule_allow_on_ties():
     assert web.robots_allows("User-agent: *\nDisallow: /a\nAllow: /a", "x", "/a")
     groups, sitemaps = web.robots_groups(text)
     assert groups[1]["agents"] == ["millbot", "other"] and groups[1]["delay"] == 2.0 and sitemaps == ["https://x/s.xml"]
+    assert web.robots_directives("millbot: noindex, nofollow", "millbot/2")["noindex"] and not web.robots_directives("otherbot: noindex", "millbot/2")["noindex"]
     assert web.robots_directives("NoIndex, follow") == {"noindex": True, "nofollow": False, "noarchive": False}
 
 
@@ -51,6 +55,22 @@ def test_html_main_content_metadata_and_links():
     assert web.extract("")["text"] == "" and web.extract(None)["title"] is None
 
 
+def test_deep_pages_json_ld_and_class_words():
+    assert web.extract("<div>" * 5000 + "deep" + "</div>" * 5000)["text"] == "deep"
+    data = '{"@graph": [{"@type": "Organization"}, {"@type": ["BlogPosting"], "headline": "Head", "author": [{"name": "A"}, "B"], "datePublished": "2024-01-02T03:04:05+02:00", "dateModified": "2099-01-01"}]}'
+    html = f"""<html lang="en-US"><head><title>t</title><script type="application/ld+json">{{bad</script><script type="application/ld+json">{data}</script></head><body><main>
+    <div class="commentary">{"alpha " * 50}</div><div class="comment-list">{"beta " * 50}</div><div class="post-header">gamma</div><div hidden>delta</div></main></body></html>"""
+    page = web.extract(html, datetime(2025, 1, 1, tzinfo=timezone.utc))
+    assert (page["title"], page["author"], page["published"], page["modified"], page["lang"]) == ("Head", "A, B", "2024-01-02T01:04:05Z", None, "en")
+    assert "alpha" in page["text"] and "gamma" in page["text"] and "beta" not in page["text"] and "delta" not in page["text"]
+    menu = "<div id=a>" + "<a href=/x>menu words here</a> " * 40 + "</div><div id=b>" + "prose words here " * 30 + "</div>"
+    assert web.extract(menu)["text"].startswith("prose")
+    assert web.instant("Mon, 01 Jan 2024 10:00:00 +0000") == "2024-01-01T10:00:00Z" and web.instant("soon") is None
+    known = {web.block_hash("Related"), web.block_hash("Own title")}
+    assert web.without_boilerplate(["# Related", "related", "Own  Title", "- Own title", "text"], known, "own title") == ["# Related", "Own  Title", "text"]
+    assert web.plain_page("Title\n\nbody\fnext")["text"] == "Title\nbody\nnext"
+
+
 def test_pdf_text_and_reasons():
     words = " ".join(f"word{i}" for i in range(30))
     stream = f"BT [(Hello) -250 (there)] TJ ({words}) Tj ET".encode()
@@ -77,6 +97,9 @@ def test_chunks_sections_windows_and_slivers():
 
 
 def test_front_matter_maps_by_precedence(spark):
+    listed = "---\ntags:\n  - a\n  - b\nslug: s\ncharacters: [x, y]\nnot an entry\n---\nbody"
+    row = spark.createDataFrame([(listed,)], "raw string").select(*(c.alias(n) for n, c in A.mapped_page(F.col("raw")).items()), A.front_matter_errors(F.col("raw")).alias("errors")).first()
+    assert (row["tags"], row["slug"], row["characters"], row["errors"], row["body"]) == (["a", "b"], "s", ["x", "y"], ["not an entry"], "body")
     raw = '---\ntitle: "T"\nsummary: s\nexcerpt: e\ntags: [a, "b"]\ncreated: 2024-01-02\nbroken line\n---\n# H\nbody text'
     rows = spark.createDataFrame([(raw,), ("# Only heading\ntext",)], "raw string")
     page = A.mapped_page(F.col("raw"))
@@ -98,6 +121,13 @@ def test_files_lists_and_rows(spark, tmp_path):
     found = A.blocklist(spark, str(tmp_path / "hosts.txt"), "s1", "hosts")
     assert sorted(r["pattern"] for r in found.collect()) == ["bad.example.com", "worse.org"]
     assert A.reloaded(found, found.limit(0), "s1").count() == 2
+    with tarfile.open(tmp_path / "list.tar.gz", "w:gz") as archive:
+        for name, body in (("ads/domains", b"||bad.example.net^\n! note\n"), ("other/domains", b"fine.example.net\n")):
+            entry = tarfile.TarInfo(name)
+            entry.size = len(body)
+            archive.addfile(entry, io.BytesIO(body))
+    assert [r["pattern"] for r in A.archived_blocklist(spark, str(tmp_path / "list.tar.gz"), "ads/", "s2", "domains").collect()] == ["bad.example.net"]
+    assert A.single_document(spark, str(tmp_path / "docs"), "a.md").first()["raw"] == "# A"
     (tmp_path / "r.csv").write_text('Host,Note\na.com,"x, ""y"""\n')
     row = A.rows_from_csv(spark, str(tmp_path / "r.csv")).first()
     assert (row["host"], row["note"]) == ("a.com", 'x, "y"')
