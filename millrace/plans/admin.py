@@ -592,9 +592,9 @@ def tier_cascade(spark, d):
     return blocks.join(S.domains(spark, d), "host").groupBy("page_id", "tier").agg(F.count(F.lit(1)).alias("blocks"))
 
 
-@register("doubled_articles", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\\b(the the|a a|an an|le le|la la)\\b')")
+@register("doubled_articles", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}])(the the|a a|an an|le le|la la)($|[^\\p{L}\\p{N}])')")
 def doubled_articles(spark, d):
-    return _docs(spark, d).filter(F.col("text").rlike("(?i)\\b(the the|a a|an an|le le|la la)\\b")).select("doc_id")
+    return _docs(spark, d).filter(F.col("text").rlike("(?i)(^|[^\\p{L}\\p{N}])(the the|a a|an an|le le|la la)($|[^\\p{L}\\p{N}])")).select("doc_id")
 
 
 @register("constraint_check", f"""WITH {_SITES} SELECT host, array_to_string(list_filter([CASE WHEN id % 9 = 0 AND tier <> 'T1' THEN 'zone A needs the first tier' END, CASE WHEN id % 200 > 160 THEN 'blurb too long' END, CASE WHEN id % 4 = 3 THEN 'unknown match type' END], lambda x: x IS NOT NULL), ';') AS errors FROM sites""")
