@@ -17,7 +17,8 @@ less ``SIGMAS`` standard errors, then the exact comparison of full sets.
 
 Edge cases: a null text or one without words has an empty set, no links, and is its own
 component.  Rows that share a doc_id are one vertex; a null doc_id has no links, a null
-component and is not kept.  An empty table gives no rows.
+component and is not kept.  A very long text is one set, whole; equal sets tie to the smallest id.  An empty table gives
+no rows; other columns are not read, and ``keep_one`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -214,6 +215,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     bands = nodes.select("id", "n", F.explode(band).alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("__n")).filter("size > 1").select("key", "size")
+    shared = common.written(shared, "shared-keys")
     bands = common.written(bands.join(shared, "key"), "bands")
     texts = common.written(
         docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(bands.select("id").distinct(), "id"), "texts"
@@ -225,7 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     open_bands, done, found = bands, None, None
     for turn in range(STAR_ROUNDS):
         seat = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
-        pivot = open_bands.groupBy("key").agg(F.min_by(F.struct("id", "n"), seat).alias("p"))
+        pivot = common.written(open_bands.groupBy("key").agg(F.min_by(F.struct("id", "n"), seat).alias("p")), "pivots")
         pairs = (
             open_bands.join(pivot, "key")
             .filter((F.col("id") != F.col("p.id")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")))
