@@ -12,6 +12,7 @@ meets every pair; a table's candidates are confirmed by counting differing bits.
 Edge cases: a null or empty text has fingerprint 0 and is its own edit if the next text is
 too short to give anything.  Rows are ordered by doc_id, nulls first, equal keys by their texts;
 after the last comes the first, so a single row is its own next.  An empty table gives no rows.
+A very long text is voted on in whole, words over word; equal texts have equal fingerprints; other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ looks at the share of word characters (code points) inside marked windows, and a
 share inside lines that repeat an earlier line.
 
 Edge cases: a null or empty text has no words, fails the base rule and is not kept.
-Repeated rows are judged each by itself; extra columns are carried or ignored.
+Repeated rows are judged each by itself, equal texts alike; a very long text is judged in whole.  Extra columns are carried or
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ documents are streamed through them.
 
 Edge cases: null and empty texts have no words; texts below ``WINDOW`` words lose none.  Rows that share an id do
 not count as smaller than each other.  A null id is larger than none and smaller than none:
-such rows neither lose words nor make others lose them.  An empty table gives no rows.
+such rows neither lose words nor make others lose them.  Of equal documents the smallest id keeps its words.  A very long
+text is marked in slices of words over its whole length.  An empty table gives no rows; ``without_repeats`` keeps
+all columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,6 +20,9 @@ _LOWER[65:91] += 32
 _PLACES = 64
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, _PLACES * 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Base of the rolling hash, 5 modulo 8, and its inverse modulo 2^64.
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes handled at a time inside one very long text.
 _BLOCK = 1 << 20
 
@@ -85,20 +88,28 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(value, at[:-1]) + size.astype(np.uint64))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 def windows(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``n`` words within a row, and the word index at which each begins."""
+    """Hashes of all windows of ``n`` words within a row, and the word index at which each begins.
+
+    A rolling hash: running sums of the word hashes times powers of an odd base give every window by one subtraction, which the inverse
+    power moves to the window's start.  The value is then mixed.
+    """
     total = len(hashes)
     if total < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    whole = np.zeros(total - n + 1, np.uint64)
-    factor = np.uint64(1)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            factor = np.uint64((int(factor) * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % 2**64) | np.uint64(1)
-            whole += mix(hashes[k : total - n + 1 + k] * factor) if n <= 3 else hashes[k : total - n + 1 + k] * factor
+    sums = np.zeros(total + 1, np.uint64)
+    np.cumsum(hashes * _powers(_BASE, total), out=sums[1:])
     left = np.repeat(first[1:], np.diff(first)) - np.arange(total)
     fits = np.flatnonzero(left[: total - n + 1] >= n)
-    return mix(whole[fits]), fits
+    whole = (sums[fits + n] - sums[fits]) * _powers(_INVERSE, total)[fits]
+    return mix(whole + np.uint64(n)), fits
 
 
 def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
