@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``docs``.  Stages keep extra columns as they are.
+
+Edge cases: null and empty texts fail the quality rules and go; whatever else is null is kept.  Rows without an id are no near copies of
+any, lose no passages and are mixed like others.  Of rows that share an id one stays, of equal documents the one with the smallest id;
+rows that the mix takes twice or thrice come out as often.  Very long texts pass in whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
