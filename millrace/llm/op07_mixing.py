@@ -89,14 +89,13 @@ def _place(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, 12), 16, 10).cast("bigint")
 
 
-def sized(docs: DataFrame, *extra: Column) -> DataFrame:
-    """doc_id, size, source, ``tag`` (hash of the text: tells rows apart that share an id) and ``extra``."""
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source and ``tag`` (hash of the text: tells rows apart that share an id)."""
     return docs.select(
         F.col("doc_id"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.col("source"),
         F.xxhash64("text").alias("tag"),
-        *extra,
     )
 
 
@@ -204,14 +203,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, repeated as often as it takes them, in shuffled order within output shards.
 
-    Every row goes through the mix with all its columns, so rows that share id and size are taken as ``mixed`` says of each.
+    What each row draws is found without the texts and joined to them by id, hash of the text, source and a number among
+    rows that share all three; only such rows, few as a rule, are numbered.
     """
-    columns = docs.columns
-    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns))).alias("__row")
-    taken = mixed(sized(docs, whole)).select("doc_id", "tag", "__row", F.posexplode("draws").alias("__pass", "__shard"))
-    shuffled = taken.withColumn("__at", _place("local", F.lit(str(SEED)), F.col("doc_id"), F.col("tag"), F.col("__pass")))
-    ordered = shuffled.repartitionByRange("__shard", "__at").sortWithinPartitions("__shard", "__at")
-    return ordered.select(*(F.col(f"__row.c{k}").alias(c) for k, c in enumerate(columns)))
+    columns, key = docs.columns, ["doc_id", "tag", "source"]
+    numbered = Window.partitionBy(*key).orderBy("draws")
+    drawn = mixed(sized(docs)).select(*key, "draws").withColumn("__n", F.row_number().over(numbered))
+    drawn = common.written(drawn.select(*(F.col(c).alias(f"__{c}") for c in (*key, "draws")), "__n"), "mix-draws")
+    rows = docs.withColumn("__own", F.xxhash64("text"))
+    same = lambda left, right: (left["doc_id"].eqNullSafe(right["__doc_id"])) & (left["__own"] == right["__tag"]) & left["source"].eqNullSafe(right["__source"])
+    several = drawn.filter("__n = 2").select("__doc_id", "__tag", "__source")
+    order = Window.partitionBy("doc_id", "__own", "source").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in columns)))
+    single = rows.join(several, same(rows, several), "left_anti").withColumn("__k", F.lit(1))
+    repeated = rows.join(several, same(rows, several), "left_semi").withColumn("__k", F.row_number().over(order))
+    every = single.unionByName(repeated)
+    taken = every.join(drawn, same(every, drawn) & (every["__k"] == drawn["__n"])).select(*(every[c] for c in columns), "__own", F.posexplode("__draws").alias("__pass", "__shard"))
+    shuffled = taken.withColumn("__at", _place("local", F.lit(str(SEED)), F.col("doc_id"), F.col("__own"), F.col("__pass")))
+    return shuffled.repartitionByRange("__shard", "__at").sortWithinPartitions("__shard", "__at").select(*columns)
 
 
 QUERIES = {"op7_mixing": op7_mixing}
