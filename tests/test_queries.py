@@ -13,7 +13,7 @@ from millrace.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Columns without a value in the fixtures: made-up pages give no such metadata.
-EMPTY = {"author", "published", "modified", "heading"}
+EMPTY = {"author", "published", "modified", "description", "heading_path"}
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="fixtures are not here")
 
 
