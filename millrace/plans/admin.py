@@ -275,12 +275,12 @@ def audit_recent(spark, d):
     return _events(spark, d).orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(50).select(F.col("event_id").alias("id"), F.col("user_id").alias("bet_id"), F.col("event_type").alias("action"))
 
 
-@register("lexicon_preview", f"""WITH {TERMS}, q AS (SELECT * FROM (VALUES (1, 'The ONENSEN of erstlyat'), (2, 'thon the heroon?')) q(query_id, raw)), n AS (SELECT query_id, {P.NORM.format('raw')} AS normalized, list_distinct({WORDS.format('raw')}) AS w FROM q)
+@register("lexicon_preview", f"""WITH {TERMS}, q AS (SELECT * FROM (VALUES (1, 'The BLEES of eresan'), (2, 'onesen the blees?')) q(query_id, raw)), n AS (SELECT query_id, {P.NORM.format('raw')} AS normalized, list_distinct({WORDS.format('raw')}) AS w FROM q)
   SELECT n.query_id, any_value(normalized) AS normalized, coalesce(array_to_string(list_sort(list(DISTINCT t2.term) FILTER (t2.term <> t1.term AND t2.lang = 'en' AND NOT list_contains(w, t2.term))), ' '), '') AS expansions
   FROM n LEFT JOIN terms t1 ON list_contains(w, t1.term) LEFT JOIN terms t2 ON t1.concept = t2.concept GROUP BY 1""")
 def lexicon_preview(spark, d):
     """Normal form and expansions of queries, without a search."""
-    q = spark.createDataFrame([(1, "The ONENSEN of erstlyat"), (2, "thon the heroon?")], "query_id int, raw string")
+    q = spark.createDataFrame([(1, "The BLEES of eresan"), (2, "onesen the blees?")], "query_id int, raw string")
     q = q.withColumn("normalized", T.normalized(F.col("raw"))).withColumn("tokens", F.array_distinct(T.words(F.col("normalized")))).withColumn("lang", F.lit("en"))
     found = lexicon.expand(q, P.lexicon_terms(spark, d)).select("query_id", F.explode("terms").alias("t")).groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("t")), " ").alias("expansions"))
     return q.join(found, "query_id", "left").select("query_id", "normalized", F.coalesce("expansions", F.lit("")).alias("expansions"))
@@ -420,16 +420,16 @@ def content_requests(spark, d):
     return rows.select("conv_id", "turn", F.trim(F.substring("text", 1, 500)).alias("request"), F.lit(None).cast("bigint").alias("user_id"))
 
 
-@register("lexicon_upsert", f"""WITH {TERMS} SELECT term, CASE WHEN length(term) = 4 THEN 1.0 WHEN length(term) = 5 THEN 0.75 ELSE weight END::DOUBLE AS weight, concept FROM terms""")
+@register("lexicon_upsert", f"""WITH {TERMS} SELECT term, CASE WHEN length(term) = 5 AND term < 'm' THEN 0.3 WHEN length(term) = 6 THEN 0.75 ELSE weight END::DOUBLE AS weight, concept FROM terms""")
 def lexicon_upsert(spark, d):
     """Terms after an import: the last row of a term stands, rows with a weight out of range are left out."""
     from millrace.operators.retention import upserted
     from millrace.sources.articles import validated
 
     old = P.lexicon_terms(spark, d).select("term", F.col("weight").cast("double").alias("weight"), "concept")
-    four, five = old.filter(F.length("term") == 4), old.filter(F.length("term") == 5)
-    rows = four.withColumns({"weight": F.lit(0.3), "at": F.lit(1)}).unionByName(four.withColumns({"weight": F.lit(1.0), "at": F.lit(2)}))
-    rows = rows.unionByName(five.withColumns({"weight": F.lit(0.75), "at": F.lit(1)})).unionByName(five.withColumns({"weight": F.lit(7.0), "at": F.lit(2)}))
+    five, six = old.filter("length(term) = 5 AND term < 'm'"), old.filter(F.length("term") == 6)
+    rows = five.withColumns({"weight": F.lit(0.9), "at": F.lit(1)}).unionByName(five.withColumns({"weight": F.lit(0.3), "at": F.lit(2)}))
+    rows = rows.unionByName(six.withColumns({"weight": F.lit(0.75), "at": F.lit(1)})).unionByName(six.withColumns({"weight": F.lit(7.0), "at": F.lit(2)}))
     good, _ = validated(rows, {"weight": F.col("weight").between(0, 1)})
     return upserted(old, latest(good, ["term"], ["at"]).select(*old.columns), ["term"])
 

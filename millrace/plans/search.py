@@ -43,10 +43,10 @@ ZONED = f"{SERVED}, zoned AS (SELECT * FROM (SELECT *, CASE WHEN tier <> 'T1' TH
 ASKED = f"""asked AS (
   SELECT query_id, lang, w, v, list_distinct({stem_sql(f"list_filter(w, lambda x: NOT list_contains({T.STOPS!r}, x))", "lang")}) AS terms
   FROM (SELECT *, {LANG} AS lang FROM (SELECT item_id AS query_id, {WORDS.format('text')} AS v, list_distinct({WORDS.format('text')}) AS w FROM benchmark)))"""
-#: Concepts and terms: a term is a benchmark word of three to six letters, its concept the first three.
+#: Concepts and terms: a term is a benchmark word of five or six letters, its concept the first three.
 TERMS = f"""terms AS (
   SELECT substr(term, 1, 3) AS concept, term, CASE WHEN length(term) % 3 = 0 THEN 'fr' ELSE 'en' END AS lang, round(0.5 + length(term) % 6 / 10.0, 2) AS weight
-  FROM (SELECT unnest({WORDS.format('text')}) AS term FROM benchmark) WHERE length(term) BETWEEN 3 AND 6 GROUP BY term)"""
+  FROM (SELECT unnest({WORDS.format('text')}) AS term FROM benchmark) WHERE length(term) BETWEEN 5 AND 6 GROUP BY term)"""
 EXPANDED = f"""expansion AS (
   SELECT query_id, round(least(weight, 1.0), 1) AS weight, any_value(qlang) AS lang, list(DISTINCT term) AS words
   FROM (SELECT DISTINCT q.query_id, q.lang AS qlang, t2.term, t2.weight FROM asked q, terms t1, terms t2
@@ -94,7 +94,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 def lexicon_terms(spark, d):
     words = S.table(spark, d, "benchmark").select(F.explode(T.words(T.normalized(F.col("text")))).alias("term"))
-    words = words.filter(F.length("term").between(3, 6)).distinct()
+    words = words.filter(F.length("term").between(5, 6)).distinct()
     return words.select(
         F.substring("term", 1, 3).alias("concept"), "term", F.when(F.length("term") % 3 == 0, "fr").otherwise("en").alias("lang"), F.round(0.5 + F.length("term") % 6 / 10.0, 2).alias("weight")
     )
