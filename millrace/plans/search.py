@@ -199,9 +199,9 @@ def query_tokens(spark, d):
     return S.query_log(spark, d).select("query_id", F.array_join(F.array_sort(T.tokens(T.normalized(F.col("query")))), "|").alias("tokens"))
 
 
-@register("lexical_topk", f"WITH {LEX} SELECT query_id, zone, page_id, round(lex_score, 6) AS lex_score, strict, lex_rank FROM lex")
+@register("lexical_topk", f"WITH {LEX} SELECT query_id, zone, page_id, round(lex_score, 9) AS lex_score, strict, lex_rank FROM lex")
 def lexical_topk(spark, d):
-    return lexical(spark, d).select("query_id", "zone", "page_id", F.round("lex_score", 6).alias("lex_score"), "strict", _rank("lex_rank"))
+    return lexical(spark, d).select("query_id", "zone", "page_id", F.round("lex_score", 9).alias("lex_score"), "strict", _rank("lex_rank"))
 
 
 @register("vector_topk", f"WITH {ZONED}, {SEMANTIC} SELECT query_id, zone, page_id, round(cosine, 6) AS cosine, sem_rank FROM sem")
