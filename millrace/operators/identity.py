@@ -56,7 +56,8 @@ def near_pairs(pages: DataFrame, radius: int = RADIUS, agree: int = AGREE) -> Da
     Equal fingerprints are one vertex, so a large group of copies costs one row.  The bits fall into ``radius`` + ``agree`` blocks;
     two fingerprints within the radius agree in ``agree`` of them at least, so one table for each choice of that many blocks,
     keyed by their bits, meets every pair.  With three agreeing blocks a key has about half the bits, and chance
-    meetings stay few for billions of rows.  A pair is given by the first table in which it meets.
+    meetings stay few for billions of rows.  A pair is given by the first table in which it meets.  The join is a sort-merge
+    join by hint: Spark takes the rows of all tables for as few as the fingerprints and would send them through the driver.
     """
     blocks = radius + agree
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -64,7 +65,7 @@ def near_pairs(pages: DataFrame, radius: int = RADIUS, agree: int = AGREE) -> Da
     masks = [sum(choice) for choice in combinations(bits, agree)]
     masks = [m - 2**64 if m >= 2**63 else m for m in masks]
     tables = F.array(*(F.struct(F.lit(t).alias("table"), F.col("h").bitwiseAND(F.lit(m)).alias("value")) for t, m in enumerate(masks)))
-    each = pages.select(F.col("simhash").alias("h")).distinct().select("h", F.explode(tables).alias("at")).select("h", "at.table", "at.value")
+    each = pages.select(F.col("simhash").alias("h")).distinct().select("h", F.explode(tables).alias("at")).select("h", "at.table", "at.value").hint("merge")
     met = each.withColumnRenamed("h", "a").join(each.withColumnRenamed("h", "b"), ["table", "value"]).filter("a < b")
     x = F.col("a").bitwiseXOR(F.col("b"))
     first = F.coalesce(*(F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(masks)))

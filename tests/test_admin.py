@@ -79,6 +79,13 @@ def test_near_pairs_and_components_equal_brute_force(spark):
     assert got == {i: (first[group[v]] if first[group[v]] != i else None) for i, v in pages}
 
 
+def test_near_pairs_are_not_met_through_the_driver(spark):
+    prints = shared.written(spark.range(1000).select(F.xxhash64("id").alias("simhash")), "prints")
+    pairs = I.near_pairs(prints)
+    pairs.collect()
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_of_repeated_keys(spark):
     rows = [(1, "one two three four five"), (1, "six seven eight nine ten"), (2, None), (2, "")]
     found = [r["simhash"] for r in I.simhashes(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", F.col("text")).collect()]
