@@ -11,6 +11,7 @@ from millrace.operators import embedding as M
 from millrace.operators import frontier as C
 from millrace.operators import identity as I
 from millrace.operators import shared
+from millrace.plans import graph
 
 
 def test_vectors_come_in_batches_and_failures_are_tried_again(spark, tmp_path):
@@ -86,6 +87,22 @@ def test_near_pairs_are_not_met_through_the_driver(spark):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_near_copies_are_not_resolved_through_the_driver(spark, tmp_path, monkeypatch):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(40))) for k in range(30)]
+    rows += [(100 + k, text) for k, text in rows[:5]]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return shared.written(df, name)
+
+    monkeypatch.setattr(graph, "written", noted)
+    got = {r["page_id"]: r["duplicate_of"] for r in graph.near_dup_resolve(spark, str(tmp_path)).collect()}
+    assert "Join" in plans["near-pairs"] and "Broadcast" not in plans["near-pairs"]
+    assert len(got) == 30 + 3 + 5 + 1 and all(got[100 + k] == k for k in range(5))
+
+
 def test_simhash_of_repeated_keys(spark):
     rows = [(1, "one two three four five"), (1, "six seven eight nine ten"), (2, None), (2, "")]
     found = [r["simhash"] for r in I.simhashes(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", F.col("text")).collect()]
