@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.shared import written
+
 SHINGLE, MOST_WEIGHT, RADIUS, AGREE = 4, 3, 3, 3
 
 
@@ -106,25 +108,21 @@ def resolved(pages: DataFrame, pairs: DataFrame, order: list[str]) -> DataFrame:
 
     ``pages``: page_id, simhash and the columns of ``order``; ``pairs``: linked fingerprints (a, b).  Labels go to the least linked
     fingerprint again and again until none changes; only fingerprints that have a link take part, and each round is
-    cut off by a checkpoint.
+    written.  All joins are sort-merge joins by hint: Spark would send labels and links through the driver, in every round.
     """
     links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = links.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label"))
-    reliable = links.sparkSession.conf.get("spark.checkpoint.dir", None) or links.sparkSession.sparkContext.getCheckpointDir()
+    labels = written(links.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     while True:
-        near = links.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(near, "a").select("a", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        # The label's own label, so that a chain is halved each round.
-        up = moved.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        moved = moved.join(up, "label", "left").select("a", F.least("label", F.coalesce("up", "label")).alias("label"), "moved")
-        if reliable:
-            moved = moved.checkpoint()
-        if not moved.filter("moved").limit(1).count():
+        near = links.hint("merge").join(labels.select(F.col("a").alias("b"), "label"), "b").select("a", "label", F.lit(None).cast("bigint").alias("own"))
+        least = near.unionByName(labels.select("a", "label", F.col("label").alias("own"))).groupBy("a").agg(F.min("label").alias("label"), F.max("own").alias("own"))
+        # The label's own label, so that a chain is halved each round; a label is a linked fingerprint and has one.
+        up = labels.select(F.col("a").alias("label"), F.col("label").alias("up"))
+        labels = written(least.hint("merge").join(up, "label").select("a", F.col("up").alias("label"), (F.col("up") < F.col("own")).alias("moved")), "labels")
+        if not labels.filter("moved").limit(1).count():
             break
-        labels = moved.drop("moved")
-    held = pages.join(moved.select(F.col("a").alias("simhash"), "label"), "simhash", "left").withColumn("__group", F.coalesce("label", "simhash"))
+    held = pages.hint("merge").join(labels.select(F.col("a").alias("simhash"), "label"), "simhash", "left").withColumn("__group", F.coalesce("label", "simhash"))
     first = held.groupBy("__group").agg(F.min(F.struct(*order, "page_id"))["page_id"].alias("first"))
-    return held.join(first, "__group").select("page_id", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("duplicate_of"))
+    return held.hint("merge").join(first, "__group").select("page_id", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("duplicate_of"))
 
 
 def inlinks(pages: DataFrame, links: DataFrame) -> DataFrame:

@@ -103,6 +103,20 @@ def test_near_copies_are_not_resolved_through_the_driver(spark, tmp_path, monkey
     assert len(got) == 30 + 3 + 5 + 1 and all(got[100 + k] == k for k in range(5))
 
 
+def test_no_round_of_resolving_goes_through_the_driver(spark):
+    chain = [(i, (1 << i) - 1) for i in range(40)] + [(100, 0), (101, (1 << 62) - 1)]
+    prints = shared.written(spark.createDataFrame(chain, "page_id bigint, simhash bigint"), "prints")
+    pairs = shared.written(I.near_pairs(prints), "pairs")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {r["page_id"]: r["duplicate_of"] for r in I.resolved(prints, pairs, []).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    plans = [runs.apply(k).physicalPlanDescription() for k in range(before, runs.size())]
+    assert len(plans) > 3 and sum("SortMergeJoin" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans)
+    assert got == {i: 0 if 0 < i < 101 else None for i, _ in chain}
+
+
 def test_simhash_of_repeated_keys(spark):
     rows = [(1, "one two three four five"), (1, "six seven eight nine ten"), (2, None), (2, "")]
     found = [r["simhash"] for r in I.simhashes(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", F.col("text")).collect()]
